@@ -10,6 +10,12 @@ from lodestone.llm import quality
 from lodestone.llm.common import table
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.secrets import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.packing import pack_documents
 
@@ -28,6 +34,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op6_quality_rules, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op6_quality_rules, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality.oracle_sql()}
