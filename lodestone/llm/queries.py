@@ -28,12 +28,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op6_quality_rules, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op6_quality_rules, op9_mixing, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality.oracle_sql()}
