@@ -28,6 +28,12 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.repeats import remove
 
@@ -52,6 +58,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op3_jaccard_join, op5_substring_dedup, op6_quality_rules, op9_mixing, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op3_jaccard_join, op4_html_extraction, op5_substring_dedup, op6_quality_rules, op9_mixing, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality.oracle_sql()}
