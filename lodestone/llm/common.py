@@ -38,10 +38,19 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows of an Arrow batch at most: whole texts make batches large.
+ARROW_ROWS = 2000
+
+
 class Scratch:
-    """Intermediate tables in the shared folder. A written table cuts the lineage and outlives executors."""
+    """Intermediate tables in the shared folder. A written table cuts the lineage and outlives executors.
+
+    Starting one also keeps the session's Arrow batches to ARROW_ROWS rows.
+    """
 
     def __init__(self, spark: SparkSession):
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
         self.spark, self.top, self.paths = spark, shared_dir(spark).rstrip("/"), {}
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:

@@ -20,8 +20,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 #: Bases of the polynomials over bytes and over words, odd so that they can be divided by.
 _BASES = (6364136223846793005, 2862933555777941757)
-#: Bytes hashed at a time: 8 MB for each 64-bit array.
-_SEGMENT = 1 << 20
+#: Bytes hashed at a time: 4 MB for each 64-bit array.
+_SEGMENT = 1 << 19
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -42,7 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def blocks(column: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, bounds of the rows in them) of runs of rows of about `size` bytes; null counts as empty."""
     if column.null_count:
         column = column.fill_null("")
