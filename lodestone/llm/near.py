@@ -114,23 +114,35 @@ def _index(k: int, percent: int, sketch):
                     prefixes.append(None if d in seen else g[order[start[i] : start[i] + wanted[i]]].view(np.int64))
                     seen.add(d)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(number, number + len(sizes)), pa.int64()), batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["row", "_id", "digest", "n", "prefix"],
+                [pa.array(np.arange(number, number + len(sizes)), pa.int64()), batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["row", "_id", "_h", "digest", "n", "prefix"],
             )
             number += len(sizes)
 
     return run
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """Ascending hashes by their upper 48 bits, six bytes each: two of a pair's thousand tokens meet by chance once in 10^9 pairs."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpacked(packed) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
+
+
 def _chosen_sets(k: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
             digests, sets = [], []
-            for _, data, bounds in textvec.blocks(batch.column(0)):
+            ids = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            for first, data, bounds in textvec.blocks(batch.column(0)):
                 raw = data.tobytes()
                 found = [_digest(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-                keys = np.frombuffer(b"".join(d[:8] for d in found), "<u8")
+                keys = np.frombuffer(b"".join(d[:8] for d in found), "<u8") ^ ids[first : first + len(found)]
                 ok = bloom.holds(wanted.value, keys)
                 if not ok.any():
                     continue
@@ -140,7 +152,7 @@ def _chosen_sets(k: int, wanted):
                     if start[i + 1] > start[i] and found[i] not in seen:
                         seen.add(found[i])
                         digests.append(found[i])
-                        sets.append(g[start[i] : start[i + 1]].astype("<u8").tobytes())
+                        sets.append(_packed(g[start[i] : start[i + 1]]))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "set"])
 
     return run
@@ -153,7 +165,7 @@ def _compare(percent: int, differences: bool):
         for batch in batches:
             linked, sizes, heads = [], [], []
             for x, y, members in zip(batch.column("set_a"), batch.column("set_b"), batch.column("members").to_pylist()):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                x, y = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
                 both = np.sort(np.concatenate((x, y)), kind="stable")
                 same = both[1:] == both[:-1]
                 common = int(same.sum())
@@ -183,13 +195,36 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     word link with nothing. Null ids are passed over when the least is sought, and stay where there is no other;
     repeated rows link with each other; an empty table gives none; other columns are ignored.
     """
+    rows = classes(docs, id_col, text_col, k, percent)
+    return rows.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, all columns, less all but one of each component: the one with the least id (ties: a hash of
+    the text). Rows without a word all stay, but for repeats of the same row; rows of null id come last in a component."""
+    rows = classes(docs, id_col, text_col, k, percent)
+    lone = rows.where("component IS NULL").select("_id", "_h")
+    first = rows.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id"), F.col("_h"))).alias("r")).select("r._id", "r._h")
+    stay = lone.unionByName(first).distinct().select(F.col("_id").alias("_stay_id"), F.col("_h").alias("_stay_h"))
+    met = docs.withColumn("_text_h", text_hash(text_col)).join(stay, F.col(id_col).eqNullSafe(F.col("_stay_id")) & (F.col("_text_h") == F.col("_stay_h")), "left_semi")
+    nth = F.row_number().over(W.partitionBy(id_col, "_text_h").orderBy(F.lit(0)))
+    return met.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+
+
+def text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """_id, _h (text_hash), n, component (a number of its own for each, null without words), component_id per row."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     sketch = spark.sparkContext.broadcast(word_sketch(docs, text_col))
-    index = scratch.write(docs.select(F.col(id_col).alias("_id"), text_col).mapInArrow(_index(k, percent, sketch), f"row long, _id {kind}, digest binary, n long, prefix array<long>"), "index")
+    index = scratch.write(docs.select(F.col(id_col).alias("_id"), text_col, text_hash(text_col).alias("_h")).mapInArrow(_index(k, percent, sketch), f"row long, _id {kind}, _h long, digest binary, n long, prefix array<long>"), "index")
     reps = index.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id"), F.col("row"))).alias("r")).select("digest", F.col("r.row").alias("node"))
-    nodes = scratch.write(index.select("row", "_id", "digest", "n").join(reps, "digest", "left"), "nodes")
+    nodes = scratch.write(index.select("row", "_id", "_h", "digest", "n").join(reps, "digest", "left"), "nodes")
+    own = nodes.where("row = node").select("node", "digest", F.col("n").alias("size"), F.xxhash64("_id").alias("ih"))
 
     # 1. prefix shingles that two texts share, and 2. each member's pivot
     posted = index.where("prefix IS NOT NULL").select("row", F.explode("prefix").alias("token")).repartition("token")
@@ -197,16 +232,15 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     often = scratch.write(often.join(nodes.select("row", "node", "n"), "row").select("token", "node", "n").distinct(), "postings")
     pivots = often.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("_z")).where("a < _z").select("token", "a")
     star = often.join(pivots, "token").where("a < node").select("a", F.col("node").alias("b")).distinct()
-    star = scratch.write(star.join(nodes.select(F.col("row").alias("a"), F.col("digest").alias("da"), F.col("n").alias("na")), "a").join(nodes.select(F.col("row").alias("b"), F.col("digest").alias("db"), F.col("n").alias("nb")), "b"), "star")
+    star = scratch.write(star.join(own.select(F.col("node").alias("a"), F.col("digest").alias("da"), F.col("ih").alias("ia")), "a").join(own.select(F.col("node").alias("b"), F.col("digest").alias("db"), F.col("size").alias("nb"), F.col("ih").alias("ib")), "b"), "star")
     key = F.conv(F.concat_ws("", *(F.substring(F.hex("digest"), i, 2) for i in range(15, 0, -2))), 16, -10).cast("long")
-    chosen = star.select(F.col("da").alias("digest")).union(star.select(F.col("db").alias("digest"))).distinct().select(key.alias("key"))
+    chosen = star.select(F.col("da").alias("digest"), F.col("ia").alias("ih")).union(star.select("db", "ib")).distinct().select(key.bitwiseXOR(F.col("ih")).alias("key"))
     wanted = spark.sparkContext.broadcast(bloom.build(scratch.write(chosen, "chosen"), "key"))
-    sets = docs.select(text_col).mapInArrow(_chosen_sets(k, wanted), "digest binary, set binary")
-    sets = scratch.write(sets.groupBy("digest").agg(F.first("set").alias("set")), "sets")
+    sets = scratch.write(docs.select(text_col, F.xxhash64(F.col(id_col)).alias("ih")).mapInArrow(_chosen_sets(k, wanted), "digest binary, set binary"), "sets")
     sets_a, sets_b = (sets.select(F.col("digest").alias("d" + x), F.col("set").alias("set_" + x)) for x in "ab")
     members = star.groupBy("a").agg(F.count("*").alias("members"))
     pairs = star.join(members, "a").join(sets_a, "da").join(sets_b, "db").select("a", "b", "members", "set_a", "set_b")
-    compared = scratch.write(pairs.mapInArrow(_compare(percent, True), "a long, b long, linked boolean, apart long, head array<long>"), "compared")
+    compared = scratch.write(pairs.mapInArrow(_compare(percent, True), "a long, b long, linked boolean, apart long, head array<long>").dropDuplicates(["a", "b"]), "compared")
     links = compared.where("linked").select("a", "b")
     labels = scratch.write(components(links), "labels")
 
@@ -227,15 +261,13 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     x, y = near.alias("x"), near.alias("y")
     close = x.join(y, (F.col("x.a") == F.col("y.a")) & fits & F.expr(f"x.apart + y.apart <= {limit}")).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
     more = scratch.write(shared.union(close).distinct(), "candidates")
-    named = more.join(nodes.select(F.col("row").alias("a"), F.col("digest").alias("da")), "a").join(nodes.select(F.col("row").alias("b"), F.col("digest").alias("db")), "b")
+    named = more.join(own.select(F.col("node").alias("a"), F.col("digest").alias("da")), "a").join(own.select(F.col("node").alias("b"), F.col("digest").alias("db")), "b")
     pairs = named.join(sets_a, "da").join(sets_b, "db").select("a", "b", F.lit(1).alias("members"), "set_a", "set_b")
     verified = pairs.mapInArrow(_compare(percent, False), "a long, b long, linked boolean, apart long").where("linked").select("a", "b")
     all_links = links.unionByName(scratch.write(verified, "verified"))
     labels = scratch.write(components(all_links), "labels")
 
     # every row's class: its own id, its copies' and its component's least id
-    classes = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("least")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    top = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = classes.join(top, "component").select("node", "component_id")
-    out = nodes.join(of, "node", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
+    groups = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("least")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    top = groups.groupBy("component").agg(F.min("least").alias("component_id"))
+    return nodes.join(groups.join(top, "component"), "node", "left").select("_id", "_h", "n", "component", "component_id")
