@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, n_words, small_side
+from lodestone.llm.common import Scratch, n_words, small_side, words
 
 #: Weights by the order of sources (code points, null last), repeating; words taken per 100 words of all documents; most passes over a source.
 WEIGHTS, PER_CENT, PASSES = (3, 1, 2), 150, 2
@@ -41,7 +41,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, per_cent: int = PER_CENT
 def laid_out(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """_id, _source, size and the shuffle: _part and _order by a hash of the id, _key a place of its own among equals."""
     h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    return docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("size"), h.alias("_order"), F.conv(F.substring(h, 1, 8), 16, 10).cast("long").alias("_h")).withColumn("_part", (F.col("_h") % PARTS).cast("int"))
+    return docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text_h"), h.alias("_order"), F.conv(F.substring(h, 1, 8), 16, 10).cast("long").alias("_h")).withColumn("_part", (F.col("_h") % PARTS).cast("int"))
 
 
 def shuffled(sized: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def shuffled(sized: DataFrame) -> DataFrame:
     sums = sized.groupBy("_source", "_part").agg(F.sum("size").alias("_sum"))
     before = W.partitionBy("_source").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_from"))
-    within = W.partitionBy("_source", "_part").orderBy("_order", F.col("_id").asc_nulls_last(), "size")
+    within = W.partitionBy("_source", "_part").orderBy("_order", F.col("_id").asc_nulls_last(), "size", "_text_h")
     d = sized.withColumn("_nth", F.row_number().over(within)).withColumn("_in", F.coalesce(F.sum("size").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     met = d.join(starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
     return met.withColumn("_at", F.col("_from") + F.col("_in")).drop("_s", "_p", "_from", "_in", "_order", "_h")
@@ -87,10 +87,10 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     sized = scratch.write(laid_out(docs, id_col, text_col, source_col), "sized")
     goal = scratch.write(targets(sized.groupBy("_source").agg(F.sum("size").alias("source_size")), weights, per_cent, passes), "targets")
     facts = goal.agg(F.sum("target").alias("words"), F.count("*").alias("sources")).first()
-    words = facts["words"] or 0.0
-    block = int(max(1, min(block_words, words // (BLOCKS * max(1, facts["sources"])))))
+    total = facts["words"] or 0.0
+    block = int(max(1, min(block_words, total // (BLOCKS * max(1, facts["sources"])))))
     rows = scratch.write(shuffled(sized).join(small_side(goal.withColumnRenamed("_source", "_s")), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s"), "stream")
-    turns = schedule(goal, block, int(-(-words // block)))
+    turns = schedule(goal, block, int(-(-total // block)))
     passed = rows.where("size > 0 AND target > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("_pass"))
     start = F.col("_at") + F.col("_pass") * F.col("source_size")
     passed = passed.withColumn("_start", start).withColumn("_rank", F.explode(F.sequence(F.floor(start / block).cast("long"), F.floor((start + F.col("size") - 1) / block).cast("long"))))
@@ -116,3 +116,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     got = taken.groupBy(*KEY).agg(F.sum(F.col("_to") - F.col("_from")).alias("_taken"))
     out = rows.alias("a").join(got.alias("b"), F.col("a._source").eqNullSafe(F.col("b._source")) & (F.col("a._part") == F.col("b._part")) & (F.col("a._nth") == F.col("b._nth")), "left")
     return out.select(F.col("a._id").alias(id_col), F.col("a.size").alias("size"), F.col("a.source_size").alias("source_size"), F.col("a.target").alias("target"), F.coalesce(F.col("b._taken"), F.lit(0)).cast("long").alias("taken"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", weights: tuple = WEIGHTS, per_cent: int = PER_CENT, passes: int = PASSES, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix itself: the rows of `docs`, all columns, once for each pass that takes words of them.
+
+    A row taken in part has its text cut to those words, joined by one space, and `chars_col`, where given, counts
+    them; a row of which nothing is taken goes (so do rows without words).
+    """
+    rows, taken = spans(docs, id_col, text_col, source_col, weights, per_cent, passes, block_words)
+    parts = taken.groupBy(*KEY, "_pass").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    keyed = rows.select(*KEY, "_id", "_text_h", "size", F.row_number().over(W.partitionBy("_id", "_source", "_text_h").orderBy("_part", "_nth")).alias("_copy"))
+    met = parts.alias("a").join(keyed.alias("b"), F.col("a._source").eqNullSafe(F.col("b._source")) & (F.col("a._part") == F.col("b._part")) & (F.col("a._nth") == F.col("b._nth")))
+    takes = met.groupBy(F.col("b._id").alias("_i"), F.col("b._source").alias("_s"), F.col("b._text_h").alias("_h")).agg(F.collect_list(F.struct(F.col("b._copy").alias("copy"), F.col("a._pass").alias("pass"), F.col("a._from").alias("from"), F.col("a._to").alias("to"), F.col("b.size").alias("size"))).alias("_takes"))
+    d = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    d = d.withColumn("_copy", F.row_number().over(W.partitionBy(id_col, source_col, "_th").orderBy(F.lit(0))))
+    d = d.join(takes, F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_th") == F.col("_h")))
+    d = d.withColumn("_take", F.explode(F.filter("_takes", lambda x: x["copy"] == F.col("_copy"))))
+    whole = (F.col("_take.from") == 0) & (F.col("_take.to") == F.col("_take.size"))
+    cut = F.array_join(F.slice(words(F.col(text_col)), F.col("_take.from").cast("int") + 1, (F.col("_take.to") - F.col("_take.from")).cast("int")), " ")
+    d = d.withColumn("_new", F.when(whole, F.col(text_col)).otherwise(cut))
+    chars = F.when(whole, F.col(chars_col)).otherwise(F.length("_new").cast(docs.schema[chars_col].dataType)) if chars_col else None
+    return d.select(*(F.col("_new").alias(c) if c == text_col else chars.alias(c) if c == chars_col else F.col(c) for c in docs.columns))

@@ -107,6 +107,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return met.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~high).alias("kept"))
 
 
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS) -> DataFrame:
+    """The rows of `docs`, all columns, that judge() keeps. Rows alike in id, language, source and text share their verdict."""
+    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    keys = docs.select(F.struct(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(source_col).alias("s"), h.alias("h")).alias("k"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    stay = judge(keys, "k", "text", "lang", "source", least_docs).where("kept").select("k.*").distinct()
+    met = docs.withColumn("_h", h)
+    same = F.col(id_col).eqNullSafe(stay["i"]) & F.col(lang_col).eqNullSafe(stay["l"]) & F.col(source_col).eqNullSafe(stay["s"]) & (met["_h"] == stay["h"])
+    return met.join(stay, same, "left_semi").select(*docs.columns)
+
+
 _RATES = {
     "symbol_rate": "n_symbols * 10000 // greatest(word_chars, 1)", "dup_line_rate": "n_dup_lines * 10000 // greatest(n_lines, 1)", "repeat_rate": "n_repeat_words * 10000 // greatest(n_words, 1)",
     "upper_rate": "n_upper * 10000 // greatest(word_chars, 1)", "shout_rate": "n_shouts * 10000 // greatest(word_chars, 1)", "word_length": "word_chars * 1000 // greatest(n_words, 1)",

@@ -139,3 +139,24 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.col("_id").alias(id_col), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
         F.sha2(told(F.filter("spans", lambda x: x["no"] < len(KINDS))), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), n(3).alias("n_random"),
     )
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[SECRET]", false_share: float = FALSE_SHARE) -> DataFrame:
+    """The rows of `docs`, all columns, with each span that scan() finds replaced by `mark` (overlapping spans by one).
+
+    `chars_col`, where given, then counts the new text. Null text stays null; rows without a span stay as they are.
+    """
+    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.select(F.struct(F.col(id_col).alias("i"), h.alias("h")).alias("k"), F.col(text_col).alias("text"))
+    found = scan(keyed, "k", "text", false_share).where(F.size("spans") > 0)
+    found = found.groupBy(F.col("_id.i").alias("_i"), F.col("_id.h").alias("_h")).agg(F.first("spans").alias("_spans"))
+    met = docs.withColumn("_text_h", h)
+    met = met.join(found, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_text_h") == F.col("_h")), "left")
+    fold = f"""aggregate(_spans, struct(0 AS at, array('') AS parts),
+        (a, x) -> CASE WHEN x.start >= a.at THEN struct(CAST(x.end AS INT) AS at, concat(a.parts, array(substring(`{text_col}`, a.at + 1, CAST(x.start AS INT) - a.at), '{mark}')) AS parts)
+                       ELSE struct(CAST(greatest(a.at, x.end) AS INT) AS at, a.parts AS parts) END,
+        a -> array_join(a.parts, '') || substring(`{text_col}`, a.at + 1))"""
+    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.expr(fold))
+    met = met.withColumn("_new", text)
+    chars = F.when(F.col("_spans").isNull(), F.col(chars_col)).otherwise(F.length("_new").cast(docs.schema[chars_col].dataType)) if chars_col else None
+    return met.select(*(F.col("_new").alias(c) if c == text_col else chars.alias(c) if c == chars_col else F.col(c) for c in docs.columns))
