@@ -3,8 +3,11 @@
 1. Shingles of each distinct word sequence are ordered by the count of their rarest word, taken from a fixed-size
    count sketch of all words (any order is correct; rare first makes prefixes meet seldom). Sequences whose sets
    agree to the wanted degree share a shingle in the prefixes that the degree calls for.
-2. The members of a prefix shingle are each compared with one of them, the pivot: as many comparisons as members, not
-   as their square. What is compared gets its difference from the pivot's set.
+2. A sequence's prefix is longer, the more candidates its shingles' counts let expect: by one or two tokens, and as
+   many more prefix shingles must then be shared. Shingles of SMALL members or fewer give their pairs, which are counted
+   and compared if they share enough. The members of any other shingle are each compared with one of them, the pivot:
+   as many comparisons as members, not as their square. What is compared gets its difference from the pivot's set.
+   (A pair shares a large shingle, or it shares enough small ones.)
 3. Two members agree only if their differences from the pivot nearly do. So differences get prefixes too, longer by
    one token for each power of eight of the pivot's members (the estimate of candidates), and as many more shared
    tokens are required before the pair is verified on the whole sets. Pairs already in one component are left out.
@@ -29,6 +32,8 @@ from lodestone.llm.components import components
 
 #: Counters of the word sketch (8 MB in all) and how many of them a row carries.
 COUNTERS, ROW_COUNTERS = 1 << 20, 1 << 10
+#: Members of a shingle whose pairs are listed; mean count of a prefix's shingles beyond which three must be shared.
+SMALL, DEAR = 8, 64
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -95,13 +100,19 @@ def _index(k: int, percent: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen, number = sketch.value, set(), TaskContext.get().partitionId() << 40
         for batch in batches:
-            digests, sizes, prefixes = [], [], []
+            digests, sizes, prefixes, needs = [], [], [], []
             for _, data, bounds in textvec.blocks(batch.column(1)):
                 rows, g, freq = _sets(data, bounds, k, counts)
                 n = np.bincount(rows, minlength=len(bounds) - 1)
                 order = np.lexsort((g, freq, rows))
                 start = np.r_[0, np.cumsum(n)]
-                wanted = n - (percent * n + 99) // 100 + 1
+                most = (percent * n + 99) // 100  # tokens that it must share at least
+                wanted = n - most + 1
+                cost = np.r_[0, np.cumsum(np.maximum(freq[order].astype(np.int64) - 1, 0))]
+                cost = cost[start[:-1] + np.minimum(wanted, n)] - cost[start[:-1]]
+                need = np.minimum(1 + (cost > 0) + (cost > DEAR * wanted), np.maximum(most, 1))
+                wanted = wanted + need - 1
+                needs += need.tolist()
                 raw = data.tobytes()
                 for i in range(len(bounds) - 1):
                     sizes.append(int(n[i]))
@@ -114,8 +125,8 @@ def _index(k: int, percent: int, sketch):
                     prefixes.append(None if d in seen else g[order[start[i] : start[i] + wanted[i]]].view(np.int64))
                     seen.add(d)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(number, number + len(sizes)), pa.int64()), batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["row", "_id", "_h", "digest", "n", "prefix"],
+                [pa.array(np.arange(number, number + len(sizes)), pa.int64()), batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(needs, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["row", "_id", "_h", "digest", "n", "need", "prefix"],
             )
             number += len(sizes)
 
@@ -221,31 +232,36 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     scratch = Scratch(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     sketch = spark.sparkContext.broadcast(word_sketch(docs, text_col))
-    index = scratch.write(docs.select(F.col(id_col).alias("_id"), text_col, text_hash(text_col).alias("_h")).mapInArrow(_index(k, percent, sketch), f"row long, _id {kind}, _h long, digest binary, n long, prefix array<long>"), "index")
+    index = scratch.write(docs.select(F.col(id_col).alias("_id"), text_col, text_hash(text_col).alias("_h")).mapInArrow(_index(k, percent, sketch), f"row long, _id {kind}, _h long, digest binary, n long, need int, prefix array<long>"), "index")
     reps = index.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id"), F.col("row"))).alias("r")).select("digest", F.col("r.row").alias("node"))
-    nodes = scratch.write(index.select("row", "_id", "_h", "digest", "n").join(reps, "digest", "left"), "nodes")
+    nodes = scratch.write(index.select("row", "_id", "_h", "digest", "n", "need").join(reps, "digest", "left"), "nodes")
     own = nodes.where("row = node").select("node", "digest", F.col("n").alias("size"), F.xxhash64("_id").alias("ih"))
 
     # 1. prefix shingles that two texts share, and 2. each member's pivot
     posted = index.where("prefix IS NOT NULL").select("row", F.explode("prefix").alias("token")).repartition("token")
     often = posted.withColumn("_c", F.count("*").over(W.partitionBy("token"))).where("_c > 1").select("token", "row")
-    often = scratch.write(often.join(nodes.select("row", "node", "n"), "row").select("token", "node", "n").distinct(), "postings")
-    pivots = often.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("_z")).where("a < _z").select("token", "a")
-    star = often.join(pivots, "token").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    often = scratch.write(often.join(nodes.select("row", "node", "n", "need"), "row").select("token", "node", "n", "need").distinct(), "postings")
+    groups = often.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("a")).where("c > 1")
+    marked = scratch.write(often.join(groups, "token"), "marked")
+    x, y = (marked.where(F.col("c") <= SMALL).alias(v) for v in "xy")
+    listed = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr(f"x.node < y.node AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
+    listed = listed.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("x.need", "y.need")).alias("need")).where("c >= need").select("a", "b", F.lit(False).alias("star"))
+    star = marked.where((F.col("c") > SMALL) & (F.col("a") < F.col("node"))).select("a", F.col("node").alias("b"), F.lit(True).alias("star"))
+    star = star.unionByName(listed).groupBy("a", "b").agg(F.max("star").alias("star"))
     star = scratch.write(star.join(own.select(F.col("node").alias("a"), F.col("digest").alias("da"), F.col("ih").alias("ia")), "a").join(own.select(F.col("node").alias("b"), F.col("digest").alias("db"), F.col("size").alias("nb"), F.col("ih").alias("ib")), "b"), "star")
     key = F.conv(F.concat_ws("", *(F.substring(F.hex("digest"), i, 2) for i in range(15, 0, -2))), 16, -10).cast("long")
     chosen = star.select(F.col("da").alias("digest"), F.col("ia").alias("ih")).union(star.select("db", "ib")).distinct().select(key.bitwiseXOR(F.col("ih")).alias("key"))
     wanted = spark.sparkContext.broadcast(bloom.build(scratch.write(chosen, "chosen"), "key"))
     sets = scratch.write(docs.select(text_col, F.xxhash64(F.col(id_col)).alias("ih")).mapInArrow(_chosen_sets(k, wanted), "digest binary, set binary"), "sets")
     sets_a, sets_b = (sets.select(F.col("digest").alias("d" + x), F.col("set").alias("set_" + x)) for x in "ab")
-    members = star.groupBy("a").agg(F.count("*").alias("members"))
+    members = star.groupBy("a").agg(F.count_if("star").alias("members"))
     pairs = star.join(members, "a").join(sets_a, "da").join(sets_b, "db").select("a", "b", "members", "set_a", "set_b")
     compared = scratch.write(pairs.mapInArrow(_compare(percent, True), "a long, b long, linked boolean, apart long, head array<long>").dropDuplicates(["a", "b"]), "compared")
     links = compared.where("linked").select("a", "b")
     labels = scratch.write(components(links), "labels")
 
     # 3. members of a pivot that are in different components, by shared starts of their differences
-    m = compared.join(star.select("a", "b", "nb"), ["a", "b"]).join(labels.withColumnRenamed("node", "b"), "b", "left")
+    m = compared.join(star.where("star").select("a", "b", "nb"), ["a", "b"]).join(labels.withColumnRenamed("node", "b"), "b", "left")
     m = m.withColumn("label", F.coalesce("component", "b")).withColumn("slack", F.expr(f"CAST(nb * {100 - percent} DIV {percent} AS LONG)"))
     m = m.join(members, "a").withColumn("need", 1 + F.least(F.lit(3), F.floor(F.log2("members") / 3)).cast("int"))
     m = scratch.write(m.select("a", "b", "nb", "apart", "label", "slack", "need", "head"), "members")
