@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Fixed values.
 STOPWORDS = """
@@ -90,7 +91,7 @@ def terms(text) -> Column:
     return F.filter(found, lambda t: ~t.isin(STOPWORDS))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def exact_terms(text: pd.Series) -> pd.Series:
     """Words for keyword search with compatibility forms folded too, for scripts that `terms` doesn't cover."""
     import re
@@ -106,7 +107,7 @@ def exact_terms(text: pd.Series) -> pd.Series:
     return text.map(of)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def composed(text: pd.Series) -> pd.Series:
     """NFC, for texts that don't come in it."""
     return text.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
