@@ -15,6 +15,7 @@ from lodestone.functions import text as T
 from lodestone.functions.sizing import sized_broadcast
 from lodestone.operators import answer_cache, chunking, context, dense, evaluation, fusion, registry, sparse, usage
 from lodestone.plans.config import EngineConfig
+from lodestone.plans.service import Engine, Options
 from lodestone.sources import elements, layout
 from lodestone.streaming import events as streams
 
@@ -488,6 +489,15 @@ def scrub_secrets(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", T.scrub(line).alias("line"), T.redact(F.lit("content"), "text").alias("content"))
 
 
+@query()
+def ask_batch(spark, sf_dir):
+    """All benchmark questions answered from all documents, chunked and embedded, in one plan."""
+    engine = Engine.build(_documents(spark, sf_dir), CONFIG)
+    asked = load(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("request_id"), "text")
+    out = engine.ask(asked, Options(self_correct=False))
+    return out.select("request_id", "route", "answer", "refused", "grounded", F.size("citations").alias("n_citations"))
+
+
 # -- registry
 
 
