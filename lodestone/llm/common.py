@@ -58,13 +58,13 @@ class Scratch:
         df.write.parquet(path)
         atexit.register(_delete, self.spark, path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = path, out
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing reads any more."""
-        if path := self.paths.pop(id(df), None):
-            _delete(self.spark, path)
+        if held := self.paths.pop(id(df), None):
+            _delete(self.spark, held[0])
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -128,10 +128,11 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     parts = taken.groupBy(*KEY, "_pass").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
     keyed = rows.select(*KEY, "_id", "_text_h", "size", F.row_number().over(W.partitionBy("_id", "_source", "_text_h").orderBy("_part", "_nth")).alias("_copy"))
     met = parts.alias("a").join(keyed.alias("b"), F.col("a._source").eqNullSafe(F.col("b._source")) & (F.col("a._part") == F.col("b._part")) & (F.col("a._nth") == F.col("b._nth")))
-    takes = met.groupBy(F.col("b._id").alias("_i"), F.col("b._source").alias("_s"), F.col("b._text_h").alias("_h")).agg(F.collect_list(F.struct(F.col("b._copy").alias("copy"), F.col("a._pass").alias("pass"), F.col("a._from").alias("from"), F.col("a._to").alias("to"), F.col("b.size").alias("size"))).alias("_takes"))
-    d = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    d = d.withColumn("_copy", F.row_number().over(W.partitionBy(id_col, source_col, "_th").orderBy(F.lit(0))))
-    d = d.join(takes, F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_th") == F.col("_h")))
+    keys = lambda i, src, h: [F.xxhash64(i, src, h).alias("_k1"), F.xxhash64(h, src, i, F.lit(1)).alias("_k2")]  # noqa: E731  never null, so rows are dealt once
+    takes = met.select(*keys(F.col("b._id"), F.col("b._source"), F.col("b._text_h")), F.struct(F.col("b._copy").alias("copy"), F.col("a._pass").alias("pass"), F.col("a._from").alias("from"), F.col("a._to").alias("to"), F.col("b.size").alias("size")).alias("t"))
+    takes = takes.groupBy("_k1", "_k2").agg(F.collect_list("t").alias("_takes"))
+    d = docs.select("*", *keys(F.col(id_col), F.col(source_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
+    d = d.withColumn("_copy", F.row_number().over(W.partitionBy("_k1", "_k2").orderBy(F.lit(0)))).join(takes, ["_k1", "_k2"])
     d = d.withColumn("_take", F.explode(F.filter("_takes", lambda x: x["copy"] == F.col("_copy"))))
     whole = (F.col("_take.from") == 0) & (F.col("_take.to") == F.col("_take.size"))
     cut = F.array_join(F.slice(words(F.col(text_col)), F.col("_take.from").cast("int") + 1, (F.col("_take.to") - F.col("_take.from")).cast("int")), " ")

@@ -8,9 +8,10 @@
    and compared if they share enough. The members of any other shingle are each compared with one of them, the pivot:
    as many comparisons as members, not as their square. What is compared gets its difference from the pivot's set.
    (A pair shares a large shingle, or it shares enough small ones.)
-3. Two members agree only if their differences from the pivot nearly do. So differences get prefixes too, longer by
-   one token for each power of eight of the pivot's members (the estimate of candidates), and as many more shared
-   tokens are required before the pair is verified on the whole sets. Pairs already in one component are left out.
+3. Two members agree only if their differences from the pivot nearly do. So differences get prefixes too, in the order
+   of how many of the pivot's members have a token, as long as each pair's sizes call for, and longer by one token for
+   each power of eight of the pivot's members (the estimate of candidates): as many more shared tokens are required
+   before the pair is verified on the whole sets. Pairs already in one component are left out.
 Copies of a sequence are one node throughout.
 """
 
@@ -170,7 +171,7 @@ def _chosen_sets(k: int, wanted):
 
 
 def _compare(percent: int, differences: bool):
-    """For rows (a, b, members, set_a, set_b): whether the sets agree, and the start of b's difference from a."""
+    """For rows (a, b, members, set_a, set_b): whether the sets agree, and (where a has members) what is in one alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,18 +187,13 @@ def _compare(percent: int, differences: bool):
                     alone = np.ones(len(both), bool)
                     alone[1:] &= ~same
                     alone[:-1] &= ~same
-                    heads.append(both[alone][: len(y) * (100 - percent) // percent + _matches(members)].view(np.int64))
+                    heads.append(both[alone].view(np.int64) if members else None)
             cols = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols + ([pa.array(heads, pa.list_(pa.int64()))] if differences else []), names=["a", "b", "linked", "apart"] + ["head"] * differences)
+            yield pa.RecordBatch.from_arrays(cols + ([pa.array(heads, pa.list_(pa.int64()))] if differences else []), names=["a", "b", "linked", "apart"] + ["difference"] * differences)
 
     return run
 
 
-def _matches(members: int) -> int:
-    """Shared tokens that a pair of a pivot's members needs, by how many there are."""
-    return 1 + min(3, (max(1, members).bit_length() - 1) // 3)
-
-
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs`.
 
@@ -216,10 +212,11 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = classes(docs, id_col, text_col, k, percent)
     lone = rows.where("component IS NULL").select("_id", "_h")
     first = rows.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id"), F.col("_h"))).alias("r")).select("r._id", "r._h")
-    stay = lone.unionByName(first).distinct().select(F.col("_id").alias("_stay_id"), F.col("_h").alias("_stay_h"))
-    met = docs.withColumn("_text_h", text_hash(text_col)).join(stay, F.col(id_col).eqNullSafe(F.col("_stay_id")) & (F.col("_text_h") == F.col("_stay_h")), "left_semi")
-    nth = F.row_number().over(W.partitionBy(id_col, "_text_h").orderBy(F.lit(0)))
-    return met.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    keys = lambda i, h: [F.xxhash64(i, h).alias("_k1"), F.xxhash64(h, i, F.lit(1)).alias("_k2")]  # noqa: E731  never null, so rows are dealt once
+    stay = lone.unionByName(first).distinct().select(*keys(F.col("_id"), F.col("_h")))
+    d = docs.select("*", *keys(F.col(id_col), text_hash(text_col)))
+    nth = F.row_number().over(W.partitionBy("_k1", "_k2").orderBy(F.lit(0)))
+    return d.join(stay, ["_k1", "_k2"], "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
 
 
 def text_hash(text_col: str):
@@ -240,9 +237,9 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     # 1. prefix shingles that two texts share, and 2. each member's pivot
     posted = index.where("prefix IS NOT NULL").select("row", F.explode("prefix").alias("token")).repartition("token")
     often = posted.withColumn("_c", F.count("*").over(W.partitionBy("token"))).where("_c > 1").select("token", "row")
-    often = scratch.write(often.join(nodes.select("row", "node", "n", "need"), "row").select("token", "node", "n", "need").distinct(), "postings")
-    groups = often.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("a")).where("c > 1")
-    marked = scratch.write(often.join(groups, "token"), "marked")
+    often_ = scratch.write(often.join(nodes.select("row", "node", "n", "need"), "row").select("token", "node", "n", "need").distinct(), "postings")
+    groups = often_.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("a")).where("c > 1")
+    marked = scratch.write(often_.join(groups, "token"), "marked")
     x, y = (marked.where(F.col("c") <= SMALL).alias(v) for v in "xy")
     listed = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr(f"x.node < y.node AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
     listed = listed.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("x.need", "y.need")).alias("need")).where("c >= need").select("a", "b", F.lit(False).alias("star"))
@@ -251,37 +248,44 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     star = scratch.write(star.join(own.select(F.col("node").alias("a"), F.col("digest").alias("da"), F.col("ih").alias("ia")), "a").join(own.select(F.col("node").alias("b"), F.col("digest").alias("db"), F.col("size").alias("nb"), F.col("ih").alias("ib")), "b"), "star")
     key = F.conv(F.concat_ws("", *(F.substring(F.hex("digest"), i, 2) for i in range(15, 0, -2))), 16, -10).cast("long")
     chosen = star.select(F.col("da").alias("digest"), F.col("ia").alias("ih")).union(star.select("db", "ib")).distinct().select(key.bitwiseXOR(F.col("ih")).alias("key"))
-    wanted = spark.sparkContext.broadcast(bloom.build(scratch.write(chosen, "chosen"), "key"))
+    chosen = scratch.write(chosen, "chosen")
+    wanted = spark.sparkContext.broadcast(bloom.build(chosen, "key"))
     sets = scratch.write(docs.select(text_col, F.xxhash64(F.col(id_col)).alias("ih")).mapInArrow(_chosen_sets(k, wanted), "digest binary, set binary"), "sets")
     sets_a, sets_b = (sets.select(F.col("digest").alias("d" + x), F.col("set").alias("set_" + x)) for x in "ab")
     members = star.groupBy("a").agg(F.count_if("star").alias("members"))
     pairs = star.join(members, "a").join(sets_a, "da").join(sets_b, "db").select("a", "b", "members", "set_a", "set_b")
-    compared = scratch.write(pairs.mapInArrow(_compare(percent, True), "a long, b long, linked boolean, apart long, head array<long>").dropDuplicates(["a", "b"]), "compared")
+    compared = scratch.write(pairs.mapInArrow(_compare(percent, True), "a long, b long, linked boolean, apart long, difference array<long>").dropDuplicates(["a", "b"]), "compared")
     links = compared.where("linked").select("a", "b")
     labels = scratch.write(components(links), "labels")
 
-    # 3. members of a pivot that are in different components, by shared starts of their differences
-    m = compared.join(star.where("star").select("a", "b", "nb"), ["a", "b"]).join(labels.withColumnRenamed("node", "b"), "b", "left")
-    m = m.withColumn("label", F.coalesce("component", "b")).withColumn("slack", F.expr(f"CAST(nb * {100 - percent} DIV {percent} AS LONG)"))
-    m = m.join(members, "a").withColumn("need", 1 + F.least(F.lit(3), F.floor(F.log2("members") / 3)).cast("int"))
-    m = scratch.write(m.select("a", "b", "nb", "apart", "label", "slack", "need", "head"), "members")
+    # 3. members of a pivot that are in different components, by the rare ends of their differences
+    m = compared.where("difference IS NOT NULL").join(star.where("star").select("a", "b", "nb"), ["a", "b"]).join(labels.withColumnRenamed("node", "b"), "b", "left")
+    m = m.withColumn("label", F.coalesce("component", "b")).join(members, "a").withColumn("need", 1 + F.least(F.lit(3), F.floor(F.log2("members") / 3)).cast("int"))
     mixed = lambda t, keys: t.join(t.groupBy(*keys).agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x < _y").select(*keys), keys)
-    m = mixed(m, ["a"])
-    rows = scratch.write(mixed(m.select("a", "b", "nb", "apart", "label", "need", F.explode("head").alias("token")), ["a", "token"]), "differences")
-    near = mixed(m.where("apart <= slack").drop("head"), ["a"])
+    m = scratch.write(mixed(m.select("a", "b", "nb", "apart", "label", "need", "difference"), ["a"]), "members")
+    tokens = m.select("a", "b", "nb", "apart", "label", "need", F.explode("difference").alias("token"))
+    often = tokens.groupBy("a", "token").agg(F.count("*").alias("f"), F.min("label").alias("_x"), F.max("label").alias("_y")).where("f > 1")
+    tokens = tokens.join(often, ["a", "token"])
+    by = W.partitionBy("a", "b")
+    place = F.col("apart") - F.count("*").over(by) + F.row_number().over(by.orderBy("f", "token"))  # tokens of one member alone come before
+    rows = scratch.write(tokens.withColumn("place", place).where("_x < _y").drop("_x", "_y", "f"), "differences")
     limit = f"CAST((x.nb + y.nb) * {100 - percent} DIV {100 + percent} AS LONG)"
-    fits = F.expr(f"x.b < y.b AND x.label <> y.label AND 100 * least(x.nb, y.nb) >= {percent} * greatest(x.nb, y.nb) AND abs(x.apart - y.apart) <= {limit}")
+    least = f"greatest(1, CAST((x.apart + y.apart - {limit} + 1) DIV 2 AS LONG))"
+    fits = f"x.b < y.b AND x.label <> y.label AND 100 * least(x.nb, y.nb) >= {percent} * greatest(x.nb, y.nb) AND abs(x.apart - y.apart) <= {limit}"
     x, y = rows.alias("x"), rows.alias("y")
-    shared = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.a").alias("p"), F.col("x.b").alias("a"), F.col("y.b").alias("b"), F.col("x.need").alias("need"), F.expr(f"CAST((x.apart + y.apart - {limit} + 1) DIV 2 AS LONG)").alias("least"))
-    shared = shared.groupBy("p", "a", "b").agg(F.count("*").alias("c"), F.first("need").alias("need"), F.first("least").alias("least")).where("c >= least(need, greatest(least, 1))").select("a", "b")
+    shared = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.token") == F.col("y.token")) & F.expr(f"{fits} AND x.place <= x.apart - {least} + x.need AND y.place <= y.apart - {least} + y.need"))
+    shared = shared.groupBy(F.col("x.a").alias("p"), F.col("x.b").alias("a"), F.col("y.b").alias("b")).agg(F.count("*").alias("c"), F.first(F.expr(f"least(x.need, {least})")).alias("need")).where("c >= need").select("a", "b")
+    near = mixed(m.where(f"apart <= nb * {100 - percent} DIV {percent}").drop("difference"), ["a"])
     x, y = near.alias("x"), near.alias("y")
-    close = x.join(y, (F.col("x.a") == F.col("y.a")) & fits & F.expr(f"x.apart + y.apart <= {limit}")).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
+    close = x.join(y, (F.col("x.a") == F.col("y.a")) & F.expr(f"{fits} AND x.apart + y.apart <= {limit}")).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
     more = scratch.write(shared.union(close).distinct(), "candidates")
     named = more.join(own.select(F.col("node").alias("a"), F.col("digest").alias("da")), "a").join(own.select(F.col("node").alias("b"), F.col("digest").alias("db")), "b")
     pairs = named.join(sets_a, "da").join(sets_b, "db").select("a", "b", F.lit(1).alias("members"), "set_a", "set_b")
     verified = pairs.mapInArrow(_compare(percent, False), "a long, b long, linked boolean, apart long").where("linked").select("a", "b")
     all_links = links.unionByName(scratch.write(verified, "verified"))
     labels = scratch.write(components(all_links), "labels")
+    for t in (index, often_, marked, star, chosen, sets, compared, m, rows, more):
+        scratch.drop(t)
 
     # every row's class: its own id, its copies' and its component's least id
     groups = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("least")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
