@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -46,5 +47,6 @@ def decoded(content):
 def json_lines(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """One object a line; fails at run time on a line that is none, or on a key that stands twice."""
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    twice = df.groupBy(key).count().where("count > 1").select(F.assert_true(F.lit(False), F.concat(F.lit("key stands twice: "), F.col(key).cast("string"))).alias("x"))
-    return df.join(twice.select(F.lit(None).cast(df.schema[key].dataType).alias(key)), key, "left_anti")
+    counted = df.withColumn("_n", F.count("*").over(W.partitionBy(key)))
+    once = F.assert_true(F.col("_n") == 1, F.concat(F.lit("key stands twice: "), F.col(key).cast("string")))
+    return counted.where(once.isNull()).drop("_n")
