@@ -1,14 +1,12 @@
-"""Helpers that the corpus operators share: durable intermediate tables, sized broadcasts, row columns."""
+"""Helpers that the corpus operators share: sized broadcasts, words, tables."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.tables import Scratch, shared_dir  # noqa: F401
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,57 +14,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 50_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (only where that is unset) a local one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        found = tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may have ended; the folder then goes with the cluster's own clean-up
-        pass
-
-
-#: Rows of an Arrow batch at most: whole texts make batches large.
-ARROW_ROWS = 2000
-
-
-class Scratch:
-    """Intermediate tables in the shared folder. A written table cuts the lineage and outlives executors.
-
-    Starting one also keeps the session's Arrow batches to ARROW_ROWS rows.
-    """
-
-    def __init__(self, spark: SparkSession):
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-        self.spark, self.top, self.paths = spark, shared_dir(spark).rstrip("/"), {}
-
-    def write(self, df: DataFrame, name: str = "t") -> DataFrame:
-        path = f"{self.top}/lodestone-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        atexit.register(_delete, self.spark, path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path, out
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that nothing reads any more."""
-        if held := self.paths.pop(id(df), None):
-            _delete(self.spark, held[0])
-
-
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The table, marked for broadcast if it has `rows` rows at most; else Spark shuffles (and splits skewed keys).
 
