@@ -11,7 +11,10 @@
 3. Two members agree only if their differences from the pivot nearly do. So differences get prefixes too, in the order
    of how many of the pivot's members have a token, as long as each pair's sizes call for, and longer by one token for
    each power of eight of the pivot's members (the estimate of candidates): as many more shared tokens are required
-   before the pair is verified on the whole sets. Pairs already in one component are left out.
+   before the pair is verified on the whole sets. Pairs already in one component are left out. Members that are FAR
+   from their pivot, by the size of the difference, would carry the pivot along in it for nothing: such pairs are
+   listed by their shared prefix shingles instead, and must share enough of them. (A pair that agrees is never part
+   far and part near: its differences are nearly of a size, and the two ranges overlap by that much.)
 Copies of a sequence are one node throughout.
 """
 
@@ -35,6 +38,8 @@ from lodestone.llm.components import components
 COUNTERS, ROW_COUNTERS = 1 << 20, 1 << 10
 #: Members of a shingle whose pairs are listed; mean count of a prefix's shingles beyond which three must be shared.
 SMALL, DEAR = 8, 64
+#: A difference from the pivot of more than so many times a member's own tokens is far.
+FAR = 1.2
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -240,9 +245,14 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     often_ = scratch.write(often.join(nodes.select("row", "node", "n", "need"), "row").select("token", "node", "n", "need").distinct(), "postings")
     groups = often_.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("a")).where("c > 1")
     marked = scratch.write(often_.join(groups, "token"), "marked")
-    x, y = (marked.where(F.col("c") <= SMALL).alias(v) for v in "xy")
-    listed = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr(f"x.node < y.node AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-    listed = listed.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("x.need", "y.need")).alias("need")).where("c >= need").select("a", "b", F.lit(False).alias("star"))
+
+    def shared_tokens(t: DataFrame, name: str) -> DataFrame:
+        x, y = t.alias("x"), t.alias("y")
+        both = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr(f"x.node < y.node AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
+        return both.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias(name), F.first(F.least("x.need", "y.need")).alias("need"))
+
+    few = shared_tokens(marked.where(F.col("c") <= SMALL), "c")
+    listed = few.where("c >= need").select("a", "b", F.lit(False).alias("star"))
     star = marked.where((F.col("c") > SMALL) & (F.col("a") < F.col("node"))).select("a", F.col("node").alias("b"), F.lit(True).alias("star"))
     star = star.unionByName(listed).groupBy("a", "b").agg(F.max("star").alias("star"))
     star = scratch.write(star.join(own.select(F.col("node").alias("a"), F.col("digest").alias("da"), F.col("ih").alias("ia")), "a").join(own.select(F.col("node").alias("b"), F.col("digest").alias("db"), F.col("size").alias("nb"), F.col("ih").alias("ib")), "b"), "star")
@@ -262,7 +272,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     m = compared.where("difference IS NOT NULL").join(star.where("star").select("a", "b", "nb"), ["a", "b"]).join(labels.withColumnRenamed("node", "b"), "b", "left")
     m = m.withColumn("label", F.coalesce("component", "b")).join(members, "a").withColumn("need", 1 + F.least(F.lit(3), F.floor(F.log2("members") / 3)).cast("int"))
     mixed = lambda t, keys: t.join(t.groupBy(*keys).agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x < _y").select(*keys), keys)
-    m = scratch.write(mixed(m.select("a", "b", "nb", "apart", "label", "need", "difference"), ["a"]), "members")
+    m = scratch.write(mixed(m.where(F.col("apart") <= FAR * F.col("nb")).select("a", "b", "nb", "apart", "label", "need", "difference"), ["a"]), "members")
     tokens = m.select("a", "b", "nb", "apart", "label", "need", F.explode("difference").alias("token"))
     often = tokens.groupBy("a", "token").agg(F.count("*").alias("f"), F.min("label").alias("_x"), F.max("label").alias("_y")).where("f > 1")
     tokens = tokens.join(often, ["a", "token"])
@@ -278,7 +288,10 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     near = mixed(m.where(f"apart <= nb * {100 - percent} DIV {percent}").drop("difference"), ["a"])
     x, y = near.alias("x"), near.alias("y")
     close = x.join(y, (F.col("x.a") == F.col("y.a")) & F.expr(f"{fits} AND x.apart + y.apart <= {limit}")).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
-    more = scratch.write(shared.union(close).distinct(), "candidates")
+    beyond = percent / 100 * (FAR - (100 - percent) / percent)
+    distant = marked.where(F.col("c") > SMALL).join(compared.select("a", F.col("b").alias("node"), "apart"), ["a", "node"]).where(F.col("apart") > beyond * F.col("n"))
+    far = shared_tokens(distant.select("token", "node", "n", "need"), "cf").join(few.select("a", "b", "c"), ["a", "b"], "left").where(F.col("cf") + F.coalesce("c", F.lit(0)) >= F.col("need")).select("a", "b")
+    more = scratch.write(shared.union(close).union(far).distinct(), "candidates")
     named = more.join(own.select(F.col("node").alias("a"), F.col("digest").alias("da")), "a").join(own.select(F.col("node").alias("b"), F.col("digest").alias("db")), "b")
     pairs = named.join(sets_a, "da").join(sets_b, "db").select("a", "b", F.lit(1).alias("members"), "set_a", "set_b")
     verified = pairs.mapInArrow(_compare(percent, False), "a long, b long, linked boolean, apart long").where("linked").select("a", "b")
