@@ -68,17 +68,23 @@ def with_next(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
     own. The bounds and each part's least id are all that the driver sees: `parts` numbers.
     """
     cuts = sorted(set(docs.approxQuantile(id_col, [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    part = F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(1 + sum((F.when(F.col(id_col) > c, 1).otherwise(0) for c in cuts), F.lit(0)))
-    least = {r["p"]: r["i"] for r in docs.groupBy(part.alias("p")).agg(F.min(id_col).alias("i")).collect()}
+
+    def place(low: int, high: int) -> Column:
+        """1 + how many of cuts[low:high] are below the id, by halving."""
+        if low == high:
+            return F.lit(low + 1)
+        middle = (low + high) // 2
+        return F.when(F.col(id_col) <= F.lit(cuts[middle]), place(low, middle)).otherwise(place(middle + 1, high))
+
+    part = F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(place(0, len(cuts)))
+    d = docs.withColumn("_part", part)
+    least = {r["p"]: r["i"] for r in d.groupBy(F.col("_part").alias("p")).agg(F.min(id_col).alias("i")).collect()}
     order = sorted(least)
     before = {p: order[i - 1] for i, p in enumerate(order)}
-    d = docs.withColumn("_part", part)
-    first = F.lit(False)
-    home = F.lit(None).cast("int")
-    for p, i in least.items():
-        is_first = F.col(id_col).isNull() if i is None else F.col(id_col) == F.lit(i)
-        first = first | is_first
-        home = F.when(is_first, F.lit(before[p])).otherwise(home)
+    kind = docs.schema[id_col].dataType
+    of_part = lambda values, to: F.element_at(F.array(*(F.lit(values.get(p)).cast(to) for p in range(len(cuts) + 2))), F.col("_part") + 1)
+    first = F.col(id_col).eqNullSafe(of_part(least, kind))
+    home = of_part(before, "int")
     own, copy = F.struct(F.col("_part").alias("part"), F.lit(False).alias("last")), F.struct(home.alias("part"), F.lit(True).alias("last"))
     d = d.withColumn("_to", F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own))))
     return d.withColumn("_part", F.col("_to.part")).withColumn("_last", F.col("_to.last")).drop("_to")
@@ -94,7 +100,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    parts = min(512, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(4096, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     d = with_next(d, "_id", parts).repartition("_part")
     d = with_vector(d, "_text", "_v")
     by = W.partitionBy("_part").orderBy("_last", F.col("_id").asc_nulls_first(), "_text")
