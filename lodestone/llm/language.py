@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm import textvec
+from lodestone.llm.common import Scratch, small_side
 
 #: Feature places; labelled rows a language gives at most, and those of them that are landmarks; ridge.
 DIMS, ROWS, LANDMARKS, RIDGE = 1 << 15, 300, 60, 0.01
@@ -60,8 +61,13 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, rows: int = ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
     """Languages and the DIMS x languages matrix, from `labelled` (key, text, lang): the `rows` rows of each language
     whose keys hash least, so from languages x rows texts at most, of which the driver gets 4 KB each."""
-    order = W.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    some = labelled.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows)
+    spread = 1 << 32
+    hashed = labelled.withColumn("_h", F.pmod(F.xxhash64("key"), F.lit(spread)))
+    # rows that can't be among the first are left where they are: four times as many as wanted pass, about
+    limits = hashed.groupBy(F.col("lang").alias("_l")).agg((4.0 * rows * spread / F.count("*")).alias("_most"))
+    near = hashed.join(small_side(Scratch(labelled.sparkSession).write(limits, "limits")), F.col("lang") == F.col("_l")).where(F.col("_h") <= F.col("_most"))
+    order = W.partitionBy("lang").orderBy("_h", "key")
+    some = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows)
     got = some.select("lang", "place", "text").mapInArrow(_featurize, "lang string, place int, bits binary").orderBy("lang", "place").collect()
     if not got:
         return [], np.zeros((DIMS, 0), np.float32)
