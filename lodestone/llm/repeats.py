@@ -150,8 +150,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     suspects = scratch.write(suspects.join(copies.withColumnRenamed("text", "t"), F.col("text") == F.col("t"), "left").where("first IS NULL OR _id = first").drop("t", "first"), "windows")
     source = suspects.groupBy("window").agg(F.min("_id").alias("source_id"), F.max("_id").alias("_last"), F.count_if(F.col("_id").isNull()).alias("_none"))
     source = source.where("source_id < _last OR (_none > 0 AND source_id IS NOT NULL)").select("window", "source_id")
-    dup = suspects.join(source, "window")
-    places = dup.where("_id = source_id").groupBy("window").agg(F.min("at").alias("source_start"))
+    # written, so that the joins' sides are plain exchanges and Spark can split a window that very many documents hold
+    dup = scratch.write(suspects.join(scratch.write(source, "sources"), "window"), "repeats")
+    places = scratch.write(dup.where("_id = source_id").groupBy("window").agg(F.min("at").alias("source_start")), "places")
     dup = dup.where("_id > source_id OR _id IS NULL").join(places, "window")
     dup = dup.select("_id", "text", "at", "source_id", "source_start").distinct()
     # nonbranching: the next window of the text follows the same source; paths end where it doesn't
