@@ -38,8 +38,9 @@ from lodestone.llm.components import components
 COUNTERS, ROW_COUNTERS = 1 << 20, 1 << 10
 #: Members of a shingle whose pairs are listed; mean count of a prefix's shingles beyond which three must be shared.
 SMALL, DEAR = 8, 64
-#: A difference from the pivot of more than so many times a member's own tokens is far.
-FAR = 1.2
+#: A difference from the pivot of more than so many times a member's own tokens is far. (Sets that meet by chance differ
+#: by both their sizes, so by more than one.)
+FAR = 0.95
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
