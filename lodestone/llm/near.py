@@ -5,9 +5,10 @@
    agree to the wanted degree share a shingle in the prefixes that the degree calls for.
 2. A sequence's prefix is longer, the more candidates its shingles' counts let expect: by one or two tokens, and as
    many more prefix shingles must then be shared. Shingles of SMALL members or fewer give their pairs, which are counted
-   and compared if they share enough. The members of any other shingle are each compared with one of them, the pivot:
-   as many comparisons as members, not as their square. What is compared gets its difference from the pivot's set.
-   (A pair shares a large shingle, or it shares enough small ones.)
+   and compared if they share enough. The members of any other shingle have a pivot, the one of them that leads the
+   most such shingles. It is compared with the members that it leads in enough of them: as many comparisons as members,
+   not as their square. What is compared gets its difference from the pivot's set. A pair with a member that is not
+   compared with its pivot is listed and counted as in small shingles.
 3. Two members agree only if their differences from the pivot nearly do. So differences get prefixes too, in the order
    of how many of the pivot's members have a token, as long as each pair's sizes call for, and longer by one token for
    each power of eight of the pivot's members (the estimate of candidates): as many more shared tokens are required
@@ -177,7 +178,7 @@ def _chosen_sets(k: int, wanted):
 
 
 def _compare(percent: int, differences: bool):
-    """For rows (a, b, members, set_a, set_b): whether the sets agree, and (where a has members) what is in one alone."""
+    """For rows (a, b, members, set_a, set_b): whether the sets agree, and (where a has members and b is not far) what is in one alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +194,7 @@ def _compare(percent: int, differences: bool):
                     alone = np.ones(len(both), bool)
                     alone[1:] &= ~same
                     alone[:-1] &= ~same
-                    heads.append(both[alone].view(np.int64) if members else None)
+                    heads.append(both[alone].view(np.int64) if members and sizes[-1] <= FAR * len(y) else None)
             cols = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(heads, pa.list_(pa.int64()))] if differences else []), names=["a", "b", "linked", "apart"] + ["difference"] * differences)
 
@@ -237,6 +238,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     sketch = spark.sparkContext.broadcast(word_sketch(docs, text_col))
     index = scratch.write(docs.select(F.col(id_col).alias("_id"), text_col, text_hash(text_col).alias("_h")).mapInArrow(_index(k, percent, sketch), f"row long, _id {kind}, _h long, digest binary, n long, need int, prefix array<long>"), "index")
     reps = index.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id"), F.col("row"))).alias("r")).select("digest", F.col("r.row").alias("node"))
+    reps = scratch.write(reps, "reps")  # written, so that Spark can split the rows of one text that very many documents have
     nodes = scratch.write(index.select("row", "_id", "_h", "digest", "n", "need").join(reps, "digest", "left"), "nodes")
     own = nodes.where("row = node").select("node", "digest", F.col("n").alias("size"), F.xxhash64("_id").alias("ih"))
 
@@ -247,15 +249,22 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     groups = often_.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("a")).where("c > 1")
     marked = scratch.write(often_.join(groups, "token"), "marked")
 
-    def shared_tokens(t: DataFrame, name: str) -> DataFrame:
+    large = marked.where(F.col("c") > SMALL)
+    leads = large.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("leads"))
+    lead = large.join(leads, "node", "left").groupBy("token").agg(F.max(F.struct(F.coalesce("leads", F.lit(0)).alias("l"), (-F.col("node")).alias("n"))).alias("_l")).select("token", (-F.col("_l.n")).alias("a"))
+    large = scratch.write(large.drop("a").join(lead, "token"), "large")
+    led = large.where("a <> node").groupBy("a", "node").agg(F.count("*").alias("c"), F.first("need").alias("need")).where("c >= need").select("a", "node", F.lit(True).alias("star"))
+    large = large.join(led, ["a", "node"], "left").withColumn("light", (F.col("a") != F.col("node")) & F.col("star").isNull())
+
+    def shared_tokens(t: DataFrame, which: str) -> DataFrame:
         x, y = t.alias("x"), t.alias("y")
-        both = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr(f"x.node < y.node AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-        return both.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias(name), F.first(F.least("x.need", "y.need")).alias("need"))
+        both = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr(f"x.node < y.node AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND ({which})"))
+        return both.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("x.need", "y.need")).alias("need"))
 
-    few = shared_tokens(marked.where(F.col("c") <= SMALL), "c")
+    few = shared_tokens(marked.where(F.col("c") <= SMALL), "true").unionByName(shared_tokens(large, "x.light OR y.light"))
+    few = scratch.write(few.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("need").alias("need")), "pairs")
     listed = few.where("c >= need").select("a", "b", F.lit(False).alias("star"))
-    star = marked.where((F.col("c") > SMALL) & (F.col("a") < F.col("node"))).select("a", F.col("node").alias("b"), F.lit(True).alias("star"))
-    star = star.unionByName(listed).groupBy("a", "b").agg(F.max("star").alias("star"))
+    star = led.withColumnRenamed("node", "b").unionByName(listed).groupBy("a", "b").agg(F.max("star").alias("star"))
     star = scratch.write(star.join(own.select(F.col("node").alias("a"), F.col("digest").alias("da"), F.col("ih").alias("ia")), "a").join(own.select(F.col("node").alias("b"), F.col("digest").alias("db"), F.col("size").alias("nb"), F.col("ih").alias("ib")), "b"), "star")
     key = F.conv(F.concat_ws("", *(F.substring(F.hex("digest"), i, 2) for i in range(15, 0, -2))), 16, -10).cast("long")
     chosen = star.select(F.col("da").alias("digest"), F.col("ia").alias("ih")).union(star.select("db", "ib")).distinct().select(key.bitwiseXOR(F.col("ih")).alias("key"))
@@ -290,15 +299,16 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     x, y = near.alias("x"), near.alias("y")
     close = x.join(y, (F.col("x.a") == F.col("y.a")) & F.expr(f"{fits} AND x.apart + y.apart <= {limit}")).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
     beyond = percent / 100 * (FAR - (100 - percent) / percent)
-    distant = marked.where(F.col("c") > SMALL).join(compared.select("a", F.col("b").alias("node"), "apart"), ["a", "node"]).where(F.col("apart") > beyond * F.col("n"))
-    far = shared_tokens(distant.select("token", "node", "n", "need"), "cf").join(few.select("a", "b", "c"), ["a", "b"], "left").where(F.col("cf") + F.coalesce("c", F.lit(0)) >= F.col("need")).select("a", "b")
+    distant = large.join(compared.select("a", F.col("b").alias("node"), "apart"), ["a", "node"]).where(F.col("star") & (F.col("apart") > beyond * F.col("n")))
+    far = shared_tokens(distant.select("token", "node", "n", "need"), "true").withColumnRenamed("c", "cf").join(few.select("a", "b", "c"), ["a", "b"], "left")
+    far = far.where(F.col("cf") + F.coalesce("c", F.lit(0)) >= F.col("need")).select("a", "b")
     more = scratch.write(shared.union(close).union(far).distinct(), "candidates")
     named = more.join(own.select(F.col("node").alias("a"), F.col("digest").alias("da")), "a").join(own.select(F.col("node").alias("b"), F.col("digest").alias("db")), "b")
     pairs = named.join(sets_a, "da").join(sets_b, "db").select("a", "b", F.lit(1).alias("members"), "set_a", "set_b")
     verified = pairs.mapInArrow(_compare(percent, False), "a long, b long, linked boolean, apart long").where("linked").select("a", "b")
     all_links = links.unionByName(scratch.write(verified, "verified"))
     labels = scratch.write(components(all_links), "labels")
-    for t in (index, often_, marked, star, chosen, sets, compared, m, rows, more):
+    for t in (index, often_, marked, few, star, chosen, sets, compared, m, rows, more):
         scratch.drop(t)
 
     # every row's class: its own id, its copies' and its component's least id
