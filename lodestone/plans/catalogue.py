@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.sizing import sized_broadcast
-from lodestone.operators import answer_cache, chunking, context, dense, evaluation, fusion, registry, sparse, usage
+from lodestone.operators import answer_cache, chunking, context, dense, evaluation, fusion, registry, rendering, sparse, usage
 from lodestone.plans.config import EngineConfig
 from lodestone.plans.service import Engine, Options
 from lodestone.sources import elements, layout
@@ -56,7 +56,8 @@ def _keyterms(x: str) -> str:
 
 
 def _quotable(x: str) -> str:
-    return rf"lower(trim(regexp_replace(regexp_replace(translate({x}, '‘’“”', '''''\"\"'), '[|*_`#>]', ' ', 'g'), '\s+', ' ', 'g')))".replace('\\"', '"')
+    straight = "'''''\"\"'"
+    return rf"lower(trim(regexp_replace(regexp_replace(translate({x}, '‘’“”', {straight}), '[|*_`#>]', ' ', 'g'), '\s+', ' ', 'g')))"
 
 
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{{200b}}\x{{feff}}]', '', 'g'), '\r\n?', chr(10), 'g'), '[ \t\x{{00a0}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'), '(?m)^ | $', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
@@ -498,6 +499,49 @@ def ask_batch(spark, sf_dir):
     return out.select("request_id", "route", "answer", "refused", "grounded", F.size("citations").alias("n_citations"))
 
 
+@query(
+    "WITH d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id % 50 = 0 DESC, source || '.txt', doc_id) AS n, count(*) OVER (PARTITION BY lang) AS c FROM documents) SELECT lang AS collection, string_agg(n || '. T' || doc_id || ' (' || source || '.txt)', chr(10) ORDER BY n) || CASE WHEN any_value(c) > 20 THEN chr(10) || '... and ' || any_value(c) - 20 || ' more' ELSE '' END AS listing FROM d WHERE n <= 20 GROUP BY lang"
+)
+def catalog_order(spark, sf_dir):
+    d = load(spark, sf_dir, "documents")
+    d = d.select("doc_id", F.col("lang").alias("collection"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), F.concat("source", F.lit(".txt")).alias("filename"), (F.col("doc_id") % 50 == 0).alias("recent"))
+    return rendering.catalog(d, most=20)
+
+
+@query(
+    "WITH v AS (SELECT conv_id AS request_id, turn AS pos, trim(trim(text), '\"''“”‘’`') AS t FROM conversations), o AS (SELECT request_id, min(pos) AS p, arg_min(trim(t), pos) AS text FROM v WHERE trim(t) <> '' GROUP BY request_id, lower(trim(t))) SELECT request_id, CAST(n AS BIGINT) AS pos, text FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY p) AS n FROM o) WHERE n <= 3"
+)
+def clean_variants(spark, sf_dir):
+    c = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.lit("?").alias("question"), F.col("turn").alias("pos"), F.concat(F.lit(' "'), "text", F.lit('" ')).alias("text"))
+    return rendering.variants(c)
+
+
+@query("SELECT 'q' || lpad(CAST(row_number() OVER (ORDER BY p) AS VARCHAR), 3, '0') AS id, question FROM (SELECT min(doc_id) AS p, arg_min(question, doc_id) AS question FROM (SELECT doc_id, source || CASE WHEN doc_id % 2 = 0 THEN ' *X*' ELSE ' x' END AS question FROM documents) GROUP BY lower(trim(regexp_replace(regexp_replace(question, '[|*_`#>]', ' ', 'g'), '\\s+', ' ', 'g'))))")
+def question_dedup(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.concat("source", F.when(F.col("doc_id") % 2 == 0, " *X*").otherwise(" x")).alias("question"))
+    return rendering.distinct_questions(d)
+
+
+@query("SELECT doc_id, doc_id % 3 AS n, source AS name FROM documents")
+def parse_structured(spark, sf_dir):
+    d = load(spark, sf_dir, "documents")
+    reply = F.concat(F.lit("```json\n"), F.to_json(F.struct((F.col("doc_id") % 3).alias("n"), F.col("source").alias("name"))), F.lit("\n```"))
+    return d.select("doc_id", rendering.structured(reply, "n long, name string").alias("s")).select("doc_id", "s.*")
+
+
+@query("SELECT doc_id, '<passage id=\"1\" source=\"' || source || '.txt | p. 2-3 | ' || lang || '\">' || chr(10) || substr(text, 1, 40) || chr(10) || '</passage>' AS block FROM documents")
+def format_passages(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").withColumn("file", F.concat("source", F.lit(".txt"))).withColumn("a", F.lit(2)).withColumn("b", F.lit(3))
+    p = F.array(F.struct(F.lit(1).alias("passage"), rendering.passage_label("file", "a", "b", "lang").alias("source"), F.substring("text", 1, 40).alias("text")))
+    return d.select("doc_id", rendering.passages_block(p).alias("block"))
+
+
+@query("SELECT lang AS collection, count(*) AS documents, CAST(sum(n_chars % 17) AS BIGINT) AS chunks, count(DISTINCT source) AS sources, count(DISTINCT md5(text)) AS texts FROM documents GROUP BY lang")
+def kb_stats(spark, sf_dir):
+    d = _registered(spark, sf_dir).join(load(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return d.groupBy("collection").agg(F.count("*").alias("documents"), F.sum("num_chunks").alias("chunks"), F.countDistinct("source").alias("sources"), F.countDistinct("content_hash").alias("texts"))
+
+
 # -- registry
 
 
