@@ -8,7 +8,7 @@
    and compared if they share enough. The members of any other shingle have a pivot, the one of them that leads the
    most such shingles. It is compared with the members that it leads in enough of them: as many comparisons as members,
    not as their square. What is compared gets its difference from the pivot's set. A pair with a member that is not
-   compared with its pivot is listed and counted as in small shingles.
+   compared with its pivot is listed and counted as in small shingles; in shingles of CROWD members there is none.
 3. Two members agree only if their differences from the pivot nearly do. So differences get prefixes too, in the order
    of how many of the pivot's members have a token, as long as each pair's sizes call for, and longer by one token for
    each power of eight of the pivot's members (the estimate of candidates): as many more shared tokens are required
@@ -37,8 +37,9 @@ from lodestone.llm.components import components
 
 #: Counters of the word sketch (8 MB in all) and how many of them a row carries.
 COUNTERS, ROW_COUNTERS = 1 << 20, 1 << 10
-#: Members of a shingle whose pairs are listed; mean count of a prefix's shingles beyond which three must be shared.
-SMALL, DEAR = 8, 64
+#: Members of a shingle whose pairs are listed; members beyond which all are compared with their pivot, however few
+#: shingles it leads them in; mean count of a prefix's shingles beyond which three must be shared.
+SMALL, CROWD, DEAR = 8, 64, 64
 #: A difference from the pivot of more than so many times a member's own tokens is far. (Sets that meet by chance differ
 #: by both their sizes, so by more than one.)
 FAR = 0.95
@@ -246,14 +247,16 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     posted = index.where("prefix IS NOT NULL").select("row", F.explode("prefix").alias("token")).repartition("token")
     often = posted.withColumn("_c", F.count("*").over(W.partitionBy("token"))).where("_c > 1").select("token", "row")
     often_ = scratch.write(often.join(nodes.select("row", "node", "n", "need"), "row").select("token", "node", "n", "need").distinct(), "postings")
+    scratch.drop(index)
     groups = often_.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("a")).where("c > 1")
     marked = scratch.write(often_.join(groups, "token"), "marked")
 
+    scratch.drop(often_)
     large = marked.where(F.col("c") > SMALL)
     leads = large.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("leads"))
     lead = large.join(leads, "node", "left").groupBy("token").agg(F.max(F.struct(F.coalesce("leads", F.lit(0)).alias("l"), (-F.col("node")).alias("n"))).alias("_l")).select("token", (-F.col("_l.n")).alias("a"))
     large = scratch.write(large.drop("a").join(lead, "token"), "large")
-    led = large.where("a <> node").groupBy("a", "node").agg(F.count("*").alias("c"), F.first("need").alias("need")).where("c >= need").select("a", "node", F.lit(True).alias("star"))
+    led = large.where("a <> node").groupBy("a", "node").agg(F.count("*").alias("times"), F.max("c").alias("most"), F.first("need").alias("need")).where(F.expr("times >= need") | (F.col("most") > CROWD)).select("a", "node", F.lit(True).alias("star"))
     large = large.join(led, ["a", "node"], "left").withColumn("light", (F.col("a") != F.col("node")) & F.col("star").isNull())
 
     def shared_tokens(t: DataFrame, which: str) -> DataFrame:
@@ -308,7 +311,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     verified = pairs.mapInArrow(_compare(percent, False), "a long, b long, linked boolean, apart long").where("linked").select("a", "b")
     all_links = links.unionByName(scratch.write(verified, "verified"))
     labels = scratch.write(components(all_links), "labels")
-    for t in (index, often_, marked, few, star, chosen, sets, compared, m, rows, more):
+    for t in (marked, few, star, chosen, sets, compared, m, rows, more):
         scratch.drop(t)
 
     # every row's class: its own id, its copies' and its component's least id

@@ -52,11 +52,11 @@ def test_families_around_the_threshold(spark, k, percent, seed, small, far, monk
     rng = random.Random(seed)
     common = [f"w{i}" for i in range(12)]
     rows = []
-    for f in range(8):
+    for f in range(6):
         base = [rng.choice(common) if rng.random() < 0.6 else f"r{rng.randrange(4000)}" for _ in range(rng.randrange(20, 90))]
         base += "all rights reserved by the holders of this very long licence line".split() * (f % 2)
         grown = base
-        for _ in range(25):
+        for _ in range(22):
             edited = list(base if rng.random() < 0.5 else grown)
             for _ in range(rng.randrange(0, 3)):
                 edited[rng.randrange(len(edited))] = f"e{rng.randrange(40)}"
