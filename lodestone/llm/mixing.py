@@ -139,3 +139,22 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     d = d.withColumn("_new", F.when(whole, F.col(text_col)).otherwise(cut))
     chars = F.when(whole, F.col(chars_col)).otherwise(F.length("_new").cast(docs.schema[chars_col].dataType)) if chars_col else None
     return d.select(*(F.col("_new").alias(c) if c == text_col else chars.alias(c) if c == chars_col else F.col(c) for c in docs.columns))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for mix() over documents: a source's called blocks are its stream's first ones, so words follow from their number."""
+    return rf'''
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents),
+    sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+    weighed AS (SELECT *, {PASSES} * source_size AS full_size, {list(WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight FROM sums),
+    filled AS (SELECT *, (({PER_CENT} * sum(source_size) OVER ())::DOUBLE / 100 - coalesce(sum(full_size) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level FROM weighed
+        WINDOW w AS (ORDER BY full_size / weight::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    goal AS (SELECT source, source_size, CASE WHEN full_size <= level * weight THEN full_size::DOUBLE ELSE weight * (SELECT arg_min(level, full_size / weight::DOUBLE) FROM filled WHERE full_size > level * weight) END AS target FROM filled),
+    facts AS (SELECT sum(target) AS words, greatest(1, least({BLOCK_WORDS}, floor(sum(target) / ({BLOCKS} * count(*)))))::BIGINT AS block FROM goal),
+    shares AS (SELECT source, coalesce(sum(target) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(target) OVER () AS lo,
+        CASE WHEN row_number() OVER (ORDER BY source NULLS LAST) = count(*) OVER () THEN 1.0 ELSE sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) / sum(target) OVER () END AS hi FROM goal WHERE target > 0),
+    slots AS (SELECT ((t % 2147483648) * {GOLDEN} % 4294967296) / 4294967296.0::DOUBLE AS u FROM (SELECT unnest(range(CAST(ceil(words / block) AS BIGINT))) AS t FROM facts)),
+    turns AS (SELECT source, count(*) * (SELECT block FROM facts) AS called FROM slots JOIN shares ON lo <= u AND u < hi GROUP BY source),
+    stream AS (SELECT d.*, source_size, target, coalesce(called, 0) AS called, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ('0x' || h[1:8])::BIGINT % {PARTS}, h, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+        FROM d JOIN goal ON d.source IS NOT DISTINCT FROM goal.source LEFT JOIN turns ON d.source IS NOT DISTINCT FROM turns.source)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(greatest(0, least(size, called - begins)) + greatest(0, least(size, called - begins - source_size)) AS BIGINT) AS taken FROM stream'''

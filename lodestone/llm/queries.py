@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import quality
+from lodestone.llm import mixing, quality
 from lodestone.llm.common import table
 
 
@@ -41,9 +41,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestone.llm.quality import judge
-
-    return judge(table(spark, sf_dir, "documents"))
+    return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +57,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestone.llm.mixing import mix
-
-    return mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +68,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op3_jaccard_join, op4_html_extraction, op5_substring_dedup, op6_quality_rules, op7_document_fingerprints, op8_language_id, op9_mixing, op10_token_counts)}
 
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality.oracle_sql(), "op9_mixing": mixing.oracle_sql()}
