@@ -79,7 +79,7 @@ def _bm25(filter_sql: str = "", k: int = CONFIG.bm25_k, queries: str = "SELECT i
     bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM hit WHERE score > 0) WHERE rank <= {k})"""
 
 
-def _dense(k: int = CONFIG.dense_k, where: str = "true", every: int = 10) -> str:
+def _dense(k: int = CONFIG.dense_k, where: str = "true", every: int = 100) -> str:
     return f"""
     dq AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % {every} = 0),
     ds AS (SELECT query_id, vec_id AS chunk_id, round(list_inner_product(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(e.embedding, lambda x: x::DOUBLE)) / (sqrt(list_inner_product(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE))) * sqrt(list_inner_product(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(e.embedding, lambda x: x::DOUBLE)))), 6) AS s6,
@@ -282,7 +282,7 @@ def bm25_filtered_topk(spark, sf_dir):
 # -- vector search and fusion
 
 
-def _vector_queries(spark, sf_dir, every=10):
+def _vector_queries(spark, sf_dir, every=100):
     return load(spark, sf_dir, "embeddings").where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
@@ -529,10 +529,10 @@ def parse_structured(spark, sf_dir):
     return d.select("doc_id", rendering.structured(reply, "n long, name string").alias("s")).select("doc_id", "s.*")
 
 
-@query("SELECT doc_id, '<passage id=\"1\" source=\"' || source || '.txt | p. 2-3 | ' || lang || '\">' || chr(10) || substr(text, 1, 40) || chr(10) || '</passage>' AS block FROM documents")
+@query("SELECT doc_id, '<passage id=\"1\" source=\"' || source || '.txt | p. 2-3 | ' || lang || '\">' || chr(10) || text || chr(10) || '</passage>' AS block FROM documents")
 def format_passages(spark, sf_dir):
     d = load(spark, sf_dir, "documents").withColumn("file", F.concat("source", F.lit(".txt"))).withColumn("a", F.lit(2)).withColumn("b", F.lit(3))
-    p = F.array(F.struct(F.lit(1).alias("passage"), rendering.passage_label("file", "a", "b", "lang").alias("source"), F.substring("text", 1, 40).alias("text")))
+    p = F.array(F.struct(F.lit(1).alias("passage"), rendering.passage_label("file", "a", "b", "lang").alias("source"), F.col("text")))
     return d.select("doc_id", rendering.passages_block(p).alias("block"))
 
 
