@@ -12,7 +12,8 @@ SYMBOLS = "#*$%&|<>"
 #: Feature -> least width of its fence. Rates are per 10,000; word_length is in thousandths of a code point.
 #: The cut of a group is its upper quartile and three times its interquartile range, that taken as this width at least.
 WIDTH = {"symbol_rate": 100, "dup_line_rate": 1500, "repeat_rate": 1000, "upper_rate": 500, "shout_rate": 100, "word_length": 1000}
-#: Bins of a sketch are this wide, and values from TOP on share the last one: 2,001 bins a feature and group at most.
+#: Bins of a sketch are this wide below 2 * TOP, and twice as wide from each doubling on: 2,000 bins a doubling. Rates end
+#: at TOP; word_length has no top. oracle_sql() still caps at TOP, so it holds for groups with upper quartiles below that.
 BIN, TOP = 5, 10_000
 #: A group with fewer documents takes its language's cuts, and a language with fewer those of all documents.
 LEAST_DOCS = 100
@@ -58,10 +59,14 @@ def base_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def sketches(features: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, feature, bin, n: a histogram per group and feature. Sketches of parts merge by adding n."""
+    """keys, feature, bin, n: a histogram per group and feature. Sketches of parts merge by adding n.
+
+    A bin is named by its least value over BIN, whatever its width.
+    """
     stack = ", ".join(f"'{f}', {f}" for f in WIDTH)
     long = features.where("NOT base_failed").select(*keys, F.expr(f"stack({len(WIDTH)}, {stack}) AS (feature, value)"))
-    return long.groupBy(*keys, "feature", (F.least("value", F.lit(TOP)) / BIN).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    width = f"shiftleft(1L, greatest(length(bin(value DIV {TOP})) - 1, 0))"
+    return long.groupBy(*keys, "feature", F.expr(f"value DIV {BIN} - value DIV {BIN} % {width}").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
