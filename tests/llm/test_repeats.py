@@ -2,6 +2,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pytest
+
+from lodestone.llm import repeats
 from lodestone.llm.repeats import remove, repeated_spans
 
 
@@ -34,7 +38,11 @@ def test_odd_and_real_rows(odd_docs, real_docs, no_docs):
     assert remove(no_docs).collect() == []
 
 
-def test_tangled_repeats(spark):
+@pytest.mark.parametrize("bits, asks", [(64, 1000), (8, 1000), (3, 2)])
+def test_tangled_repeats(spark, bits, asks, monkeypatch):
+    """With few bits most windows meet others' hashes: only the words at the sources' coordinates tell."""
+    monkeypatch.setattr(repeats, "HASH_BITS", bits)
+    monkeypatch.setattr(repeats, "ASKS", asks)
     rng = random.Random(3)
     passages = [[rng.choice("abcdefgh") for _ in range(rng.randrange(8, 40))] for _ in range(6)]
     rows = []
@@ -57,3 +65,10 @@ def test_spans_name_their_source(spark):
     docs = spark.createDataFrame([(5, " ".join(a)), (9, " ".join(b))], "doc_id long, text string")
     (s,) = repeated_spans(docs).collect()
     assert (s._id, s.start, s.end, s.source_id, s.source_start) == (9, 33, 113, 5, 20)
+
+
+def test_texts_have_other_names_with_another_salt():
+    data, bounds = np.frombuffer(b"a b  c d", np.uint8), np.array([0, 3, 3, 8])
+    plain, salted = repeats._texts(data, bounds), repeats._texts(data, bounds, 1)
+    assert plain[0] == salted[0] == [b"a b", b"", b"c d"] and plain[1] == salted[1]
+    assert not (plain[2] == salted[2]).any() and len(set(salted[2].tolist())) == 3
