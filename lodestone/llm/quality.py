@@ -12,11 +12,12 @@ SYMBOLS = "#*$%&|<>"
 #: Feature -> least width of its fence. Rates are per 10,000; word_length is in thousandths of a code point.
 #: The cut of a group is its upper quartile and three times its interquartile range, that taken as this width at least.
 WIDTH = {"symbol_rate": 100, "dup_line_rate": 1500, "repeat_rate": 1000, "upper_rate": 500, "shout_rate": 100, "word_length": 1000}
-#: Bins of a sketch are this wide below 2 * TOP, and twice as wide from each doubling on: 2,000 bins a doubling. Rates end
-#: at TOP; word_length has no top. oracle_sql() still caps at TOP, so it holds for groups with upper quartiles below that.
+#: Bins of a sketch are this wide below 2 * TOP, and twice as wide from each doubling on: 2,000 bins a doubling.
 BIN, TOP = 5, 10_000
-#: A group with fewer documents takes its language's cuts, and a language with fewer those of all documents.
-LEAST_DOCS = 100
+#: Features that may also be too low; rates may not.
+LOW = ("word_length",)
+#: Documents like the wider group's that a group's sketch is joined by.
+PRIOR = 16
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -58,68 +59,102 @@ def base_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def _bin_width(value: str) -> str:
+    return f"shiftleft(1L, greatest(length(bin({value} DIV {TOP})) - 1, 0))"
+
+
 def sketches(features: DataFrame, keys: list[str]) -> DataFrame:
     """keys, feature, bin, n: a histogram per group and feature. Sketches of parts merge by adding n.
 
-    A bin is named by its least value over BIN, whatever its width.
+    A bin is named by its least value over BIN, whatever its width; values up to 2 * TOP are known to BIN, larger ones
+    to a two-thousandth. There is no top.
     """
     stack = ", ".join(f"'{f}', {f}" for f in WIDTH)
     long = features.where("NOT base_failed").select(*keys, F.expr(f"stack({len(WIDTH)}, {stack}) AS (feature, value)"))
-    width = f"shiftleft(1L, greatest(length(bin(value DIV {TOP})) - 1, 0))"
-    return long.groupBy(*keys, "feature", F.expr(f"value DIV {BIN} - value DIV {BIN} % {width}").alias("bin")).agg(F.count("*").alias("n"))
+    return long.groupBy(*keys, "feature", F.expr(f"value DIV {BIN} - value DIV {BIN} % {_bin_width('value')}").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "feature", "bin").agg(F.sum("n").alias("n"))
 
 
-def cuts(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, feature, docs, cut: upper quartile + 3 * max(interquartile range, width), from a sketch's cumulative counts."""
+def _ranked(sketch: DataFrame, keys: list[str]) -> DataFrame:
     by = W.partitionBy(*keys, "feature")
-    seen = sketch.withColumn("_up", F.sum("n").over(by.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))).withColumn("docs", F.sum("n").over(by))
+    return sketch.withColumn("_up", F.sum("n").over(by.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))).withColumn("docs", F.sum("n").over(by))
+
+
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, feature, bins: the bins of the middles of PRIOR equal parts of each sketch, ascending."""
+    middles = F.array(*(F.lit(2 * i + 1) for i in range(PRIOR)))
+    held = _ranked(sketch, keys).withColumn("_i", F.explode(F.filter(middles, lambda i: (2 * PRIOR * F.col("_up") >= i * F.col("docs")) & (2 * PRIOR * (F.col("_up") - F.col("n")) < i * F.col("docs")))))
+    return held.groupBy(*keys, "feature").agg(F.array_sort(F.collect_list("bin")).alias("bins"))
+
+
+def with_prior(sketch: DataFrame, keys: list[str], wider: DataFrame, wider_keys: list[str]) -> DataFrame:
+    """The sketch, each group's joined by PRIOR documents like those of a wider group (quantiles): few documents of its own
+    hardly move those, many outweigh them, and no size in between switches anything."""
+    same = wider.withColumnsRenamed({c: c + "2" for c in [*wider_keys, "feature"]})
+    groups = sketch.select(*keys, "feature").distinct()
+    on = F.col("feature") == F.col("feature2")
+    for c in wider_keys:
+        on = on & F.col(c).eqNullSafe(F.col(c + "2"))
+    lent = groups.join(same, on).select(*keys, "feature", F.explode("bins").alias("bin"), F.lit(1).cast("long").alias("n"))
+    return merged(sketch.unionByName(lent), keys)
+
+
+def cuts(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, feature, low, high: the quartiles less, and plus, 3 * max(interquartile range, width); high from the end of its bin."""
     at = lambda quarter: F.min(F.when(4 * F.col("_up") >= quarter * F.col("docs"), F.col("bin"))) * BIN
     width = F.create_map(*(F.lit(x) for kv in WIDTH.items() for x in kv))[F.col("feature")]
-    q = seen.groupBy(*keys, "feature", "docs").agg(at(1).alias("q1"), at(3).alias("q3"))
-    return q.select(*keys, "feature", "docs", (F.col("q3") + 3 * F.greatest(F.col("q3") - F.col("q1"), width)).alias("cut"))
+    q = _ranked(sketch, keys).groupBy(*keys, "feature").agg(at(1).alias("q1"), at(3).alias("q3"))
+    margin = 3 * F.greatest(F.col("q3") - F.col("q1"), width)
+    return q.select(*keys, "feature", (F.col("q1") - margin).alias("low"), (F.col("q3") + BIN * F.expr(_bin_width("q3")) - 1 + margin).alias("high"))
 
 
-def thresholds(features: DataFrame, lang_col: str, source_col: str, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """One row per language and source with a cut for each feature, from its own sketch or a wider one (see LEAST_DOCS)."""
+def thresholds(features: DataFrame, lang_col: str, source_col: str) -> DataFrame:
+    """One row per language and source with both cuts for each feature.
+
+    A source's sketch is joined by PRIOR documents like its language's, and a language's by as many like all documents.
+    """
     leaf = sketches(features.select(F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), "base_failed", *WIDTH), ["_lang", "_source"])
-    own = cuts(leaf, ["_lang", "_source"])
-    lang = cuts(merged(leaf, ["_lang"]), ["_lang"]).select(F.col("_lang").alias("_lang2"), F.col("feature").alias("_f2"), F.col("docs").alias("_docs2"), F.col("cut").alias("_cut2"))
-    all_ = cuts(merged(leaf, []), []).select(F.col("feature").alias("_f3"), F.col("cut").alias("_cut3"))
-    both = own.join(lang, F.col("_lang").eqNullSafe(F.col("_lang2")) & (F.col("feature") == F.col("_f2"))).join(all_, F.col("feature") == F.col("_f3"))
-    pick = F.when(F.col("docs") >= least_docs, F.col("cut")).when(F.col("_docs2") >= least_docs, F.col("_cut2")).otherwise(F.col("_cut3"))
-    return both.withColumn("_cut", pick).groupBy("_lang", "_source").agg(*(F.max(F.when(F.col("feature") == f, F.col("_cut"))).alias(f"_cut_{f}") for f in WIDTH))
+    lang = with_prior(merged(leaf, ["_lang"]), ["_lang"], quantiles(merged(leaf, []), []), [])
+    own = cuts(with_prior(leaf, ["_lang", "_source"], quantiles(lang, ["_lang"]), ["_lang"]), ["_lang", "_source"])
+    of = lambda f, side: F.max(F.when(F.col("feature") == f, F.col(side))).alias(f"_{side}_{f}")
+    return own.groupBy("_lang", "_source").agg(*(of(f, "high") for f in WIDTH), *(of(f, "low") for f in LOW))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every row.
 
-    kept: not base_failed, and no rate above its language's and source's cut. Null text counts as empty; null
-    language or source is a group of its own; repeated rows are judged alike, each on its own row; an empty table
-    gives none; other columns are ignored, whatever their names.
+    kept: not base_failed, and no rate above (nor word_length below) its language's and source's cut. Null text counts
+    as empty; null language or source is a group of its own; repeated rows are judged alike, each on its own row; very
+    long texts are read whole; an empty table gives none; other columns are ignored, whatever their names.
     """
     scratch = Scratch(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"))
     features = scratch.write(base_features(narrow, "_text").drop("_text"), "quality")
-    cut = scratch.write(thresholds(features, "_lang", "_source", least_docs), "cuts").select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), *(f"_cut_{f}" for f in WIDTH))
+    cut = scratch.write(thresholds(features, "_lang", "_source"), "cuts").withColumnsRenamed({"_lang": "_l", "_source": "_s"})
     met = features.join(small_side(cut), F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
-    high = F.lit(False)
+    odd = F.lit(False)
     for f in WIDTH:
-        high = high | F.coalesce(F.col(f) > F.col(f"_cut_{f}"), F.lit(False))
-    return met.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~high).alias("kept"))
+        odd = odd | F.coalesce(F.col(f) > F.col(f"_high_{f}"), F.lit(False))
+    for f in LOW:
+        odd = odd | F.coalesce(F.col(f) < F.col(f"_low_{f}"), F.lit(False))
+    return met.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~odd).alias("kept"))
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS) -> DataFrame:
-    """The rows of `docs`, all columns, that judge() keeps. Rows alike in id, language, source and text share their verdict."""
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of `docs`, all columns, that judge() keeps. Rows alike in id, language, source and text share their verdict.
+
+    Null text counts as empty, and goes; an empty table gives none; other columns pass through, whatever their names.
+    """
     h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     keys = docs.select(F.struct(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(source_col).alias("s"), h.alias("h")).alias("k"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    stay = judge(keys, "k", "text", "lang", "source", least_docs).where("kept").select("k.*").distinct()
-    met = docs.withColumn("_h", h)
-    same = F.col(id_col).eqNullSafe(stay["i"]) & F.col(lang_col).eqNullSafe(stay["l"]) & F.col(source_col).eqNullSafe(stay["s"]) & (met["_h"] == stay["h"])
-    return met.join(stay, same, "left_semi").select(*docs.columns)
+    stay = judge(keys, "k", "text", "lang", "source").where("kept").select("k.*").distinct()
+    # the rows go along as one struct, so that none of their names meets these
+    met = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_i"), F.col(lang_col).alias("_l"), F.col(source_col).alias("_s"), h.alias("_h"))
+    same = F.col("_i").eqNullSafe(F.col("i")) & F.col("_l").eqNullSafe(F.col("l")) & F.col("_s").eqNullSafe(F.col("s")) & (F.col("_h") == F.col("h"))
+    return met.join(stay, same, "left_semi").select("_row.*")
 
 
 _RATES = {
@@ -128,19 +163,17 @@ _RATES = {
 }
 
 
-def oracle_sql(least_docs: int = LEAST_DOCS) -> str:
+def oracle_sql() -> str:
     """DuckDB SQL for judge() over documents."""
     space = r"[^\x20\x09-\x0D]+"
     rates = ", ".join(f"{v} AS {k}" for k, v in _RATES.items())
-    long = " UNION ALL ".join(f"SELECT lang, source, '{f}' AS feature, {w} AS width, least({f}, {TOP}) // {BIN} AS bin FROM rated WHERE NOT base_failed" for f, w in WIDTH.items())
-
-    def cut(keys: str) -> str:
-        part = ", ".join(x for x in (keys, "feature") if x)
-        return f"""SELECT {part}, any_value(docs) AS docs, min(bin) FILTER (WHERE 4 * up >= 3 * docs) * {BIN} + 3 * greatest((min(bin) FILTER (WHERE 4 * up >= 3 * docs) - min(bin) FILTER (WHERE 4 * up >= docs)) * {BIN}, any_value(width)) AS cut
-            FROM (SELECT *, sum(n) OVER (PARTITION BY {part} ORDER BY bin) AS up, sum(n) OVER (PARTITION BY {part}) AS docs FROM (SELECT {part}, width, bin, count(*) AS n FROM long GROUP BY ALL)) GROUP BY {part}"""
-
-    high = " AND ".join(f"coalesce(rated.{f} <= (CASE WHEN o.docs >= {least_docs} THEN o.{f} WHEN l.docs >= {least_docs} THEN l.{f} ELSE a.{f} END), true)" for f in WIDTH)
-    wide = lambda src, keys: f"SELECT {keys}{',' if keys else ''} any_value(docs) AS docs, " + ", ".join(f"max(cut) FILTER (WHERE feature = '{f}') AS {f}" for f in WIDTH) + f" FROM {src}" + (f" GROUP BY {keys}" if keys else "")
+    wide = lambda v: f"(1::BIGINT << greatest(length(bin({v} // {TOP})) - 1, 0))"
+    long = " UNION ALL ".join(f"SELECT lang, source, '{f}' AS feature, {f} // {BIN} - ({f} // {BIN}) % {wide(f)} AS bin FROM rated WHERE NOT base_failed" for f in WIDTH)
+    widths = " ".join(f"WHEN '{f}' THEN {w}" for f, w in WIDTH.items())
+    ranked = lambda src, keys: f"SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY bin) AS up, sum(n) OVER (PARTITION BY {keys}) AS docs FROM {src}"
+    middles = lambda src, keys: f"SELECT {keys}, bin FROM (SELECT *, unnest(range(1, {2 * PRIOR}, 2)) AS i FROM ({ranked(src, keys)})) WHERE {2 * PRIOR} * up >= i * docs AND {2 * PRIOR} * (up - n) < i * docs"
+    cut = lambda f, side: f"max({side}) FILTER (WHERE feature = '{f}') AS {side}_{f}"
+    fine = " AND ".join([f"coalesce({f} <= high_{f}, true)" for f in WIDTH] + [f"coalesce({f} >= low_{f}, true)" for f in LOW])
     return f"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{space}') AS w FROM documents),
     lined AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{space}')) AS l FROM d),
@@ -152,7 +185,15 @@ def oracle_sql(least_docs: int = LEAST_DOCS) -> str:
         len(l) AS n_lines, length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]+', '', 'g')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_shouts FROM lined LEFT JOIN covered USING (r)),
     rated AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {rates} FROM counted),
     long AS ({long}),
-    own AS ({wide(f"({cut('lang, source')})", "lang, source")}), langs AS ({wide(f"({cut('lang')})", "lang")}), every AS ({wide(f"({cut('')})", "")})
+    leaf AS (SELECT lang, source, feature, bin, count(*) AS n FROM long GROUP BY ALL),
+    every AS (SELECT feature, bin, sum(n) AS n FROM leaf GROUP BY ALL),
+    langs AS (SELECT lang, feature, bin, sum(n) AS n FROM (SELECT lang, feature, bin, n FROM leaf UNION ALL
+        SELECT g.lang, g.feature, m.bin, 1 FROM (SELECT DISTINCT lang, feature FROM leaf) g JOIN ({middles('every', 'feature')}) m ON g.feature = m.feature) GROUP BY ALL),
+    own AS (SELECT lang, source, feature, bin, sum(n) AS n FROM (SELECT lang, source, feature, bin, n FROM leaf UNION ALL
+        SELECT g.lang, g.source, g.feature, m.bin, 1 FROM (SELECT DISTINCT lang, source, feature FROM leaf) g JOIN ({middles('langs', 'lang, feature')}) m ON g.lang IS NOT DISTINCT FROM m.lang AND g.feature = m.feature) GROUP BY ALL),
+    quartiles AS (SELECT lang, source, feature, min(bin) FILTER (WHERE 4 * up >= docs) * {BIN} AS q1, min(bin) FILTER (WHERE 4 * up >= 3 * docs) * {BIN} AS q3 FROM ({ranked('own', 'lang, source, feature')}) GROUP BY ALL),
+    fences AS (SELECT lang, source, feature, q1 - 3 * greatest(q3 - q1, CASE feature {widths} END) AS low, q3 + {BIN} * {wide('q3')} - 1 + 3 * greatest(q3 - q1, CASE feature {widths} END) AS high FROM quartiles),
+    cuts AS (SELECT lang, source, {', '.join([cut(f, 'high') for f in WIDTH] + [cut(f, 'low') for f in LOW])} FROM fences GROUP BY ALL)
     SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-        base_failed, NOT base_failed AND {high} AS kept
-    FROM rated LEFT JOIN own o ON rated.lang IS NOT DISTINCT FROM o.lang AND rated.source IS NOT DISTINCT FROM o.source LEFT JOIN langs l ON rated.lang IS NOT DISTINCT FROM l.lang LEFT JOIN every a ON true"""
+        base_failed, NOT base_failed AND {fine} AS kept
+    FROM rated LEFT JOIN cuts ON rated.lang IS NOT DISTINCT FROM cuts.lang AND rated.source IS NOT DISTINCT FROM cuts.source"""
