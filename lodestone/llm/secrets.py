@@ -32,6 +32,8 @@ ENCODINGS = [
 ]
 #: Share of false discoveries that a stratum (encoding and power of two of the length) may have; p-value bins of its histogram.
 FALSE_SHARE, P_BINS = 0.1, 50
+#: Random tokens, and others, that a stratum is given beside its own.
+PRIOR = 2.0
 
 
 def _matches(text: Column, kind: int, pattern: str) -> Column:
@@ -98,22 +100,32 @@ def cut_points(tested: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame
 
     In a stratum, tokens that are random spread evenly over p (Storey's estimate counts them from the upper half) and
     others crowd near 0, the more so the longer they are. Of the tokens from a bin on, those beyond the random share
-    are false discoveries; the lowest bin is taken whose share of them is at most `false_share`. Strata are few
-    (encodings times powers of two), so is this table, whatever the corpus.
+    (and beyond its chance spread, the square root of their number) are false discoveries; the lowest of all bins is
+    taken whose share of them is at most `false_share`. A stratum borrows half the counts of the next shorter and the
+    next longer one of its encoding, and PRIOR tokens of either sort: random ones, and others that thin out by a factor
+    of four a bin for 16 characters, and four times that for each doubling. So one token alone is judged by its p, and
+    many by each other. Strata are few (encodings times powers of two), so is this table, whatever the corpus.
     """
-    histogram = tested.groupBy("encoding", "stratum", F.least(F.floor(F.col("p") * P_BINS), F.lit(P_BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    histogram = tested.groupBy("encoding", "stratum", F.least(F.floor(F.col("p") * P_BINS), F.lit(P_BINS - 1)).cast("int").alias("bin")).agg(F.count("*").cast("double").alias("n"))
+    near = F.inline(F.array(*(F.struct((F.col("stratum") + d).alias("s"), (F.col("n") * w).alias("w")) for d, w in ((0, 1.0), (-1, 0.5), (1, 0.5)))))
+    lent = histogram.select("encoding", "bin", near).groupBy("encoding", F.col("s").alias("stratum"), "bin").agg(F.sum("w").alias("w"))
+    every = histogram.select("encoding", "stratum").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(P_BINS - 1))))
     by = W.partitionBy("encoding", "stratum")
-    h = histogram.withColumn("_even", 2 * F.sum(F.when(F.col("bin") >= P_BINS // 2, F.col("n")).otherwise(0)).over(by) / F.lit(float(P_BINS)))
-    h = h.withColumn("_above", F.sum("n").over(by.orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0)))
-    false = F.greatest(F.lit(0.0), F.col("_above") - F.col("_even") * (P_BINS - F.col("bin")))
-    return h.where(false <= false_share * F.col("_above")).groupBy("encoding", "stratum").agg(F.min("bin").alias("least_bin"))
+    h = every.join(lent, ["encoding", "stratum", "bin"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    h = h.withColumn("_even", (2 * F.sum(F.when(F.col("bin") >= P_BINS // 2, F.col("w")).otherwise(0.0)).over(by) + PRIOR) / F.lit(float(P_BINS)))
+    h = h.withColumn("_above", F.sum("w").over(by.orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0)))
+    others = PRIOR * F.pow(F.lit(4.0), -F.col("bin") * F.greatest(F.col("stratum") - 3, F.lit(1)))
+    false = F.greatest(F.lit(0.0), F.col("_above") - F.col("_even") * (P_BINS - F.col("bin")) - F.sqrt("_above")) + others
+    total = F.col("_above") + PRIOR * (1 - F.col("bin") / F.lit(float(P_BINS))) + others
+    return h.where(false <= false_share * total).groupBy("encoding", "stratum").agg(F.min("bin").alias("least_bin"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", false_share: float = FALSE_SHARE) -> DataFrame:
     """_row, _id, spans (array of start, kind number, kind, end) per row of `docs`: fixed patterns, and random tokens beside them.
 
     A random token that overlaps a span of a fixed pattern is not told again. Null text counts as empty; null ids
-    stay; repeated rows are scanned each; an empty table gives none.
+    stay; repeated rows are scanned each; an empty table gives none; very long texts are scanned whole; other columns
+    are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     found = scratch.write(matches(docs, id_col, text_col), "matches")
@@ -144,19 +156,21 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[SECRET]", false_share: float = FALSE_SHARE) -> DataFrame:
     """The rows of `docs`, all columns, with each span that scan() finds replaced by `mark` (overlapping spans by one).
 
-    `chars_col`, where given, then counts the new text. Null text stays null; rows without a span stay as they are.
+    `chars_col`, where given, then counts the new text. Null text stays null; rows without a span stay as they are; an
+    empty table gives none; other columns pass through, whatever their names; very long texts are scanned whole.
     """
     h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     keyed = docs.select(F.struct(F.col(id_col).alias("i"), h.alias("h")).alias("k"), F.col(text_col).alias("text"))
     found = scan(keyed, "k", "text", false_share).where(F.size("spans") > 0)
     found = found.groupBy(F.col("_id.i").alias("_i"), F.col("_id.h").alias("_h")).agg(F.first("spans").alias("_spans"))
-    met = docs.withColumn("_text_h", h)
-    met = met.join(found, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_text_h") == F.col("_h")), "left")
+    # the rows go along as one struct, so that none of their names meets these
+    met = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_own"), F.col(text_col).alias("_text"), h.alias("_text_h"))
+    met = met.join(found, F.col("_own").eqNullSafe(F.col("_i")) & (F.col("_text_h") == F.col("_h")), "left")
     fold = f"""aggregate(_spans, struct(0 AS at, array('') AS parts),
-        (a, x) -> CASE WHEN x.start >= a.at THEN struct(CAST(x.end AS INT) AS at, concat(a.parts, array(substring(`{text_col}`, a.at + 1, CAST(x.start AS INT) - a.at), '{mark}')) AS parts)
+        (a, x) -> CASE WHEN x.start >= a.at THEN struct(CAST(x.end AS INT) AS at, concat(a.parts, array(substring(_text, a.at + 1, CAST(x.start AS INT) - a.at), '{mark}')) AS parts)
                        ELSE struct(CAST(greatest(a.at, x.end) AS INT) AS at, a.parts AS parts) END,
-        a -> array_join(a.parts, '') || substring(`{text_col}`, a.at + 1))"""
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.expr(fold))
-    met = met.withColumn("_new", text)
-    chars = F.when(F.col("_spans").isNull(), F.col(chars_col)).otherwise(F.length("_new").cast(docs.schema[chars_col].dataType)) if chars_col else None
-    return met.select(*(F.col("_new").alias(c) if c == text_col else chars.alias(c) if c == chars_col else F.col(c) for c in docs.columns))
+        a -> array_join(a.parts, '') || substring(_text, a.at + 1))"""
+    met = met.withColumn("_new", F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(F.expr(fold)))
+    own = lambda c: F.col("_row")[c]
+    chars = F.when(F.col("_spans").isNull(), own(chars_col)).otherwise(F.length("_new").cast(docs.schema[chars_col].dataType)) if chars_col else None
+    return met.select(*(F.col("_new").alias(c) if c == text_col else chars.alias(c) if c == chars_col else own(c).alias(c) for c in docs.columns))

@@ -3,7 +3,7 @@ import random
 import re
 import string
 
-from lodestone.llm.secrets import digests
+from lodestone.llm.secrets import digests, redact
 
 PATTERNS = [
     ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[2]) >= 8),
@@ -62,3 +62,25 @@ def test_battery_finds_random_tokens_and_leaves_names(spark):
     found = {i for i in planted if got[i]}
     assert len(found) >= 0.9 * len(planted)
     assert sum(got[i] for i in got if i not in planted) == 0
+
+
+def test_few_random_tokens_are_found(spark):
+    """One, three and ten random keys alone in a corpus, each in several trials."""
+    rng = random.Random(9)
+    for n in (1, 3, 10):
+        found = 0
+        for trial in range(4):
+            rows = [(i, "the key is " + "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40)) + " since then") for i in range(n)] + [(90 + i, f"no key in here_but_names_{i}_like_this_one") for i in range(5)]
+            got = {r.doc_id: r.n_random for r in digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+            found += sum(got[i] for i in range(n))
+            assert not any(got[90 + i] for i in range(5))
+        assert found >= 0.85 * 4 * n - 1
+
+
+def test_redact_names_do_not_clash(spark, no_docs):
+    cols = "doc_id long, text string, n_chars int, _i long, _h long, _spans string, _text_h long, _new string, _row long"
+    rows = [(1, "token=abcdefghij done", 21, 1, 2, "s", 3, "n", 4), (2, None, None, 1, 2, "s", 3, "n", 4), (None, "plain", 5, 1, 2, "s", 3, "n", 4)]
+    out = redact(spark.createDataFrame(rows, cols))
+    assert out.columns == [c.split()[0] for c in cols.split(", ")]
+    assert {tuple(r) for r in out.collect()} == {(1, "[SECRET] done", 13, 1, 2, "s", 3, "n", 4), rows[1], rows[2]}
+    assert redact(no_docs).collect() == []
