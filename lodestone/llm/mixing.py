@@ -103,8 +103,6 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 KEY = ["_source", "_part", "_nth"]
 
 
-
-
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, per_cent: int = PER_CENT, passes: int = PASSES, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of `docs`.
 
@@ -122,7 +120,8 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """The mix itself: the rows of `docs`, all columns, once for each pass that takes words of them.
 
     A row taken in part has its text cut to those words, joined by one space, and `chars_col`, where given, counts
-    them; a row of which nothing is taken goes (so do rows without words).
+    them; a row of which nothing is taken goes (so do rows without words, null texts among them). Repeated rows are
+    taken each on its own; an empty table gives none; other columns pass through, whatever their names.
     """
     rows, taken = spans(docs, id_col, text_col, source_col, weights, per_cent, passes, block_words)
     parts = taken.groupBy(*KEY, "_pass").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
@@ -131,14 +130,16 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     keys = lambda i, src, h: [F.xxhash64(i, src, h).alias("_k1"), F.xxhash64(h, src, i, F.lit(1)).alias("_k2")]  # noqa: E731  never null, so rows are dealt once
     takes = met.select(*keys(F.col("b._id"), F.col("b._source"), F.col("b._text_h")), F.struct(F.col("b._copy").alias("copy"), F.col("a._pass").alias("pass"), F.col("a._from").alias("from"), F.col("a._to").alias("to"), F.col("b.size").alias("size")).alias("t"))
     takes = takes.groupBy("_k1", "_k2").agg(F.collect_list("t").alias("_takes"))
-    d = docs.select("*", *keys(F.col(id_col), F.col(source_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
+    # the rows go along as one struct, so that none of their names meets these
+    d = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"), *keys(F.col(id_col), F.col(source_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
     d = d.withColumn("_copy", F.row_number().over(W.partitionBy("_k1", "_k2").orderBy(F.lit(0)))).join(takes, ["_k1", "_k2"])
     d = d.withColumn("_take", F.explode(F.filter("_takes", lambda x: x["copy"] == F.col("_copy"))))
     whole = (F.col("_take.from") == 0) & (F.col("_take.to") == F.col("_take.size"))
-    cut = F.array_join(F.slice(words(F.col(text_col)), F.col("_take.from").cast("int") + 1, (F.col("_take.to") - F.col("_take.from")).cast("int")), " ")
-    d = d.withColumn("_new", F.when(whole, F.col(text_col)).otherwise(cut))
-    chars = F.when(whole, F.col(chars_col)).otherwise(F.length("_new").cast(docs.schema[chars_col].dataType)) if chars_col else None
-    return d.select(*(F.col("_new").alias(c) if c == text_col else chars.alias(c) if c == chars_col else F.col(c) for c in docs.columns))
+    cut = F.array_join(F.slice(words(F.col("_text")), F.col("_take.from").cast("int") + 1, (F.col("_take.to") - F.col("_take.from")).cast("int")), " ")
+    d = d.withColumn("_new", F.when(whole, F.col("_text")).otherwise(cut))
+    own = lambda c: F.col("_row")[c]
+    chars = F.when(whole, own(chars_col)).otherwise(F.length("_new").cast(docs.schema[chars_col].dataType)) if chars_col else None
+    return d.select(*(F.col("_new").alias(c) if c == text_col else chars.alias(c) if c == chars_col else own(c).alias(c) for c in docs.columns))
 
 
 def oracle_sql() -> str:
