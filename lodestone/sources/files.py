@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-TYPES = {".pdf": "pdf", ".docx": "docx", ".md": "markdown", ".markdown": "markdown", ".txt": "text", ".text": "text"}
+TYPES = {".pdf": "pdf", ".docx": "docx", ".md": "markdown", ".markdown": "markdown", ".txt": "text"}
 
 
 def suffix(path):
@@ -22,13 +24,17 @@ def source_type(path):
     return F.coalesce(kind, F.raise_error(F.concat(F.lit("unsupported file type; supported: " + ", ".join(sorted(TYPES)) + ": "), path)))
 
 
+def below(path, folder: str):
+    """A file's path within a folder."""
+    bare = F.regexp_replace(path, "^[a-z]+:", "")
+    top = folder.split(":", 1)[-1].rstrip("/").replace("//", "/")
+    return F.regexp_replace(bare, "^/*" + re.escape(top.strip("/")) + "/", "")
+
+
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """path, source_type, content, content_hash of supported files below a folder; hidden folders and files are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    files = files.withColumn("_rel", F.expr("substring(path, length(regexp_extract(path, '^[a-z]+:', 0)) + 1)"))
-    top = folder.split(":", 1)[-1].rstrip("/").replace("//", "/")
-    rel = F.regexp_replace(F.col("_rel"), "^/*" + top.strip("/").replace(".", r"\.") + "/", "")
-    shown = files.withColumn("_rel", rel).where(~F.col("_rel").rlike(r"(^|/)\.") & suffix(F.col("path")).isin(list(TYPES)))
+    shown = files.withColumn("_rel", below(F.col("path"), folder)).where(~F.col("_rel").rlike(r"(^|/)\.") & suffix(F.col("path")).isin(list(TYPES)))
     return shown.select("path", source_type(F.col("path")).alias("source_type"), "content", F.sha2("content", 256).alias("content_hash"))
 
 
