@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +37,18 @@ def _delete(spark: SparkSession, path: str) -> None:
 ARROW_ROWS = 2000
 
 
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Adds _i, each row's place from 0 in the order, which must be one: rows are dealt by ranges, numbered within them, and
+    the ranges' sizes, a row each, add up before."""
+    spark = df.sparkSession
+    ranges = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_p", F.spark_partition_id())
+    placed = Scratch(spark).write(ranges, "ranges")
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    starts = placed.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    nth = F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1
+    return placed.withColumn("_nth", nth).join(starts, "_p").withColumn("_i", F.col("_from") + F.col("_nth")).drop("_p", "_nth", "_from")
+
+
 class Scratch:
     """Intermediate tables in the shared folder. A written table cuts the lineage and outlives executors.
 

@@ -28,6 +28,17 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None =
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def ensure_collection(collections: DataFrame, names: DataFrame) -> DataFrame:
+    """The collections (name, version) with those of names (name) that aren't there, at version 0."""
+    new = names.select("name").distinct().join(collections.select("name"), "name", "left_anti")
+    return collections.unionByName(new.withColumn("version", F.lit(0).cast(collections.schema["version"].dataType)))
+
+
+def embedding_inputs(queries: DataFrame, known: DataFrame) -> DataFrame:
+    """text: each text to embed once, whatever how many queries ask for it, less those whose vectors are known (text, embedding)."""
+    return queries.select("text").where("text IS NOT NULL").distinct().join(known.select("text"), "text", "left_anti")
+
+
 def missing(registry: DataFrame, scan: DataFrame, keys: list[str]) -> DataFrame:
     """Registered documents that the scan no longer finds; those from the web never count as gone."""
     return registry.where(F.col("source_type") != "url").join(scan.select(*keys), keys, "left_anti")
@@ -110,6 +121,14 @@ class Store:
             raise RuntimeError(f"version {new['version']} was published meanwhile")
         return new["version"]
 
+    def vectors(self, column: str, values: DataFrame) -> DataFrame:
+        """The chunks asked for by values of chunk_id, parent_id or doc_id."""
+        return self.read("chunks").join(values.select(column).distinct(), column, "left_semi")
+
+    def delete_collection(self) -> int:
+        """A version without a row in any table."""
+        return self.commit({t: self.read(t).limit(0) for t in self.manifest()["tables"]})
+
     def delete_document(self, doc_id: str) -> int:
         """A version without the document in any table, its cached answers included."""
         now = {t: self.read(t) for t in ("documents", "parents", "chunks")}

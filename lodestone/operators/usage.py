@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.sizing import sized_broadcast
+
 
 def with_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Adds cost_usd from prices (model, input_per_m, output_per_m: a short list); thinking counts as output, unknown models cost nothing."""
-    met = usage.join(F.broadcast(prices), "model", "left")
+    met = usage.join(sized_broadcast(prices), "model", "left")
     cost = (F.col("prompt_tokens") * F.col("input_per_m") + (F.col("output_tokens") + F.coalesce("thoughts_tokens", F.lit(0))) * F.col("output_per_m")) / 1e6
     return met.withColumn("cost_usd", F.coalesce(cost, F.lit(0.0))).drop("input_per_m", "output_per_m")
 

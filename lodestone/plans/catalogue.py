@@ -12,10 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.functions.sizing import sized_broadcast
-from lodestone.operators import answer_cache, chunking, context, dense, evaluation, fusion, registry, rendering, sparse, usage
+from lodestone.operators import answer_cache, chunking, context, dense, evaluation, fusion, hybrid, registry, rendering, sparse, usage
 from lodestone.plans.config import EngineConfig
-from lodestone.plans.service import Engine, Options
+from lodestone.plans.service import Engine
 from lodestone.sources import elements, layout
 from lodestone.streaming import events as streams
 
@@ -152,7 +151,14 @@ def sentence_split(spark, sf_dir):
     return d.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.concat_ws("|", "s")).alias("sentences"))
 
 
-@query()
+_TAIL = f"""WITH s AS (SELECT doc_id, {_GAPS.replace('text', "replace(text, chr(10), ' ')")} AS s, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS w FROM documents),
+    cut AS (SELECT doc_id, s[greatest(1, len(s) - 40):] AS s, w[greatest(1, len(w) - 160):] AS w FROM s),
+    n AS (SELECT *, coalesce(list_max(list_filter(range(1, len(s) + 1), lambda m: list_sum(list_transform(s[len(s) - m + 1:], lambda x: ceil(length(x) / 4.0))) <= {CONFIG.child_overlap})), 0) AS a,
+        coalesce(list_max(list_filter(range(1, len(w) + 1), lambda m: ceil(length(array_to_string(w[len(w) - m + 1:], ' ')) / 4.0) <= {CONFIG.child_overlap})), 0) AS b FROM cut)
+    SELECT doc_id, CASE WHEN a > 0 THEN array_to_string(s[len(s) - a + 1:], ' ') WHEN b > 0 THEN array_to_string(w[len(w) - b + 1:], ' ') ELSE '' END AS tail FROM n"""
+
+
+@query(_TAIL)
 def sentence_tail_overlap(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", T.sentence_tail("text", CONFIG.child_overlap).alias("tail"))
 
@@ -178,13 +184,29 @@ def page_names(spark, sf_dir):
     return p.select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), T.source_key("url").alias("source_key"), elements.display_name("url").alias("name"))
 
 
-@query()
+@query(
+    r"""WITH b AS (SELECT page_id, string_split_regex(replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<h1>', '<p>' || chr(2)), '</?(?:p|h1)>') AS parts FROM pages),
+    e AS (SELECT page_id, unnest(parts) AS t, unnest(range(len(parts))) AS i FROM b),
+    u AS (SELECT page_id, i, starts_with(t, chr(2)) AS h, replace(replace(replace(replace(replace(replace(regexp_replace(ltrim(t, chr(2)), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&') AS t FROM e),
+    x AS (SELECT page_id, i, h, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM u)
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS at, CASE WHEN h THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN h THEN 1 END AS level, text FROM x WHERE text <> ''"""
+)
 def page_elements(spark, sf_dir):
     p = load(spark, sf_dir, "pages").select("page_id", elements.page_elements("html").alias("p"))
     return p.select("page_id", F.posexplode("p.elements").alias("at", "e")).select("page_id", "at", "e.kind", "e.level", "e.text")
 
 
-@query()
+_ATX = r"^\s*(#{1,6})\s+(.+?)\s*#*\s*$"
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id, source, unnest(ls) AS t, unnest(range(len(ls))) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents)),
+    e AS (SELECT doc_id, source, -1 AS i, 0 AS j, 'heading' AS kind, 1 AS level, source AS text FROM documents UNION ALL SELECT doc_id, source, i, 0, 'list', NULL, '- item' FROM l WHERE i > 0
+        UNION ALL SELECT doc_id, source, i, 1, CASE WHEN trim(t) = '' THEN 'paragraph' ELSE 'heading' END, CASE WHEN trim(t) <> '' THEN 2 END, CASE WHEN trim(t) = '' THEN '##' ELSE {_clean(f"regexp_extract('## ' || t, '{_ATX}', 2)")} END FROM l WHERE i > 0
+        UNION ALL SELECT doc_id, source, i, 1, CASE WHEN regexp_matches(t, '{_ATX}') THEN 'heading' WHEN regexp_matches(t, '^\s*(?:[-*+•▪◦‣]|\d{{1,3}}[.)])\s+') THEN 'list' ELSE 'paragraph' END, CASE WHEN regexp_matches(t, '{_ATX}') THEN length(regexp_extract(t, '{_ATX}', 1)) END,
+            CASE WHEN regexp_matches(t, '{_ATX}') THEN {_clean(f"regexp_extract(t, '{_ATX}', 2)")} WHEN regexp_matches(t, '^\s*(?:[-*+•▪◦‣]|\d{{1,3}}[.)])\s+') THEN rtrim(t) ELSE {_clean("ltrim(trim(t), '> ')")} END FROM l WHERE i = 0 AND trim(t) <> '')
+    SELECT doc_id, source AS title, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS INT) AS at, kind, CAST(level AS INT) AS level, md5(text) AS text FROM e"""
+)
 def markdown_elements(spark, sf_dir):
     md = F.concat(F.lit("---\ntitle: '"), "source", F.lit("'\n---\n# "), "source", F.lit("\n\n"), F.regexp_replace("text", "\n", "\n\n- item\n\n## "))
     d = load(spark, sf_dir, "documents").select("doc_id", elements.markdown_elements(md).alias("p"))
@@ -237,9 +259,8 @@ def parent_sections(spark, sf_dir):
     "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS chunk_index, h AS content_hash FROM (SELECT doc_id, min(i) AS i, h FROM (SELECT doc_id, i, sha256(t)[1:16] AS h FROM (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))) GROUP BY doc_id, h)"
 )
 def chunk_dedup(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "t")).select("doc_id", "i", T.short_hash("t").alias("content_hash"))
-    first = d.groupBy("doc_id", "content_hash").agg(F.min("i").alias("i"))
-    return first.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("i")) - 1).alias("chunk_index"), "content_hash")
+    d = load(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.posexplode(F.split("text", "\n", -1)).alias("_at", "text"), F.lit(0).alias("parent"), F.lit("").alias("path"), F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"))
+    return chunking.chunks_of(d.withColumn("content_hash", T.short_hash("text"))).select("doc_id", "chunk_index", "content_hash")
 
 
 @query("SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -258,7 +279,7 @@ def _questions(spark, sf_dir):
 @query(f"WITH t AS (SELECT doc_id, unnest(list_distinct({_terms('text')})) AS token FROM documents), n AS (SELECT count(*) AS n FROM documents) SELECT token, count(*) AS df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 9) AS idf FROM t, n GROUP BY token")
 def doc_frequency(spark, sf_dir):
     d = load(spark, sf_dir, "documents")
-    df = sparse.document_frequency(sparse.postings(d, "doc_id", "text")).join(F.broadcast(d.agg(F.count("*").alias("n"))))
+    df = sparse.document_frequency(d, "text").join(F.broadcast(d.agg(F.count("*").alias("n"))))
     return df.select("token", "df", F.round(sparse.idf(F.col("df"), F.col("n")), 9).alias("idf"))
 
 
@@ -345,15 +366,22 @@ def matched_queries(spark, sf_dir):
 
 
 def _hybrid(spark, sf_dir):
-    """Questions against documents by keywords, and a second list by length of shared key: both fused."""
-    d = load(spark, sf_dir, "documents")
-    a = sparse.bm25_topk(_questions(spark, sf_dir), d, CONFIG.bm25_k, "doc_id").withColumn("list_no", F.lit(0))
-    b = sparse.bm25_topk(_questions(spark, sf_dir), d, CONFIG.bm25_k, "doc_id", keep=F.col("lang") == "en").withColumn("list_no", F.lit(1))
-    return fusion.rrf(a.unionByName(b), CONFIG.rrf_k)
-
-
-_HYBRID = f"""{_bm25()}, b2 AS (SELECT * FROM (SELECT h.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM hit h JOIN docs USING (chunk_id) WHERE lang = 'en' AND score > 0) WHERE rank <= {CONFIG.bm25_k}),
-    lists AS (SELECT query_id, chunk_id, rank, 0 AS l FROM bm UNION ALL SELECT query_id, chunk_id, rank, 1 FROM b2),
+    """Questions against documents: each question's vector and text, and a hypothetical answer's vector, fused.
+
+    The vectors of documents, questions (item) and hypothetical answers (item + 40) are those of the same number.
+    """
+    e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    q = _questions(spark, sf_dir).withColumnRenamed("query_id", "request_id")
+    asked = q.select("*", F.col("request_id").alias("v"), F.lit(0).alias("pos"), F.lit("original").alias("kind")).unionByName(q.select("*", (F.col("request_id") + 40).alias("v"), F.lit(1).alias("pos"), F.lit("hyde").alias("kind")))
+    asked = asked.join(e.withColumnRenamed("chunk_id", "v"), "v").drop("v")
+    texts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    lists = hybrid.rankings(asked, e, texts, CONFIG.dense_k, CONFIG.bm25_k)
+    return fusion.rrf(lists.withColumnRenamed("request_id", "query_id"), CONFIG.rrf_k)
+
+
+_HYBRID = f"""{_bm25()}, hq AS (SELECT item_id AS query_id, 0 AS l, embedding FROM benchmark JOIN embeddings ON vec_id = item_id UNION ALL SELECT item_id, 1, embedding FROM benchmark JOIN embeddings ON vec_id = item_id + 40),
+    hs AS (SELECT query_id, l, vec_id AS chunk_id, round(list_inner_product(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(e.embedding, lambda x: x::DOUBLE)) / (sqrt(list_inner_product(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE))) * sqrt(list_inner_product(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(e.embedding, lambda x: x::DOUBLE)))), 9) AS score FROM hq q, embeddings e),
+    lists AS (SELECT query_id, chunk_id, rank, l FROM (SELECT *, row_number() OVER (PARTITION BY query_id, l ORDER BY score DESC, chunk_id) AS rank FROM hs) WHERE rank <= {CONFIG.dense_k} UNION ALL SELECT query_id, chunk_id, rank, 1000 FROM bm JOIN hq USING (query_id) WHERE l = 0),
     hyb AS (SELECT query_id, chunk_id, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, b, f) AS position FROM (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf_score, min(rank) AS b, min(l * 1000000 + rank) AS f FROM lists GROUP BY ALL))"""
 
 
@@ -433,13 +461,14 @@ def expand_parents_budget(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE p AS (SELECT source AS doc_id, CAST(ceil(n_chars / 4.0) AS BIGINT) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
-    walk AS (SELECT doc_id, 1::BIGINT AS i, t AS used, 1::BIGINT AS no FROM p WHERE i = 1 UNION ALL SELECT w.doc_id, p.i::BIGINT, CASE WHEN used > 0 AND used + t > 6000 THEN t ELSE used + t END, CASE WHEN used > 0 AND used + t > 6000 THEN no + 1 ELSE no END FROM walk w JOIN p ON p.doc_id = w.doc_id AND p.i = w.i + 1)
-    SELECT doc_id, CAST(tokens AS BIGINT) AS tokens, CASE WHEN tokens <= 12000 THEN 'single' ELSE 'map_reduce' END AS mode, CASE WHEN tokens <= 12000 THEN 1 ELSE n END AS n_batches FROM (SELECT doc_id, max(no) AS n FROM walk GROUP BY 1) JOIN (SELECT doc_id, sum(t) AS tokens FROM p GROUP BY 1) USING (doc_id)"""
+    """WITH RECURSIVE p AS (SELECT doc_id, CAST(ceil(least(400, n - 400 * x) / 4.0) AS BIGINT) AS t, x + 1 AS i FROM (SELECT doc_id, length(text) AS n, unnest(range(CAST(ceil(length(text) / 400.0) AS BIGINT))) AS x FROM documents)),
+    walk AS (SELECT doc_id, 1::BIGINT AS i, t AS used, 1::BIGINT AS no FROM p WHERE i = 1 UNION ALL SELECT w.doc_id, p.i::BIGINT, CASE WHEN used > 0 AND used + t > 350 THEN t ELSE used + t END, CASE WHEN used > 0 AND used + t > 350 THEN no + 1 ELSE no END FROM walk w JOIN p ON p.doc_id = w.doc_id AND p.i = w.i + 1)
+    SELECT doc_id, CAST(tokens AS BIGINT) AS tokens, CASE WHEN tokens <= 900 THEN 'single' ELSE 'map_reduce' END AS mode, CASE WHEN tokens <= 900 THEN 1 ELSE n END AS n_batches FROM (SELECT doc_id, max(no) AS n FROM walk GROUP BY 1) JOIN (SELECT doc_id, sum(t) AS tokens FROM p GROUP BY 1) USING (doc_id)"""
 )
 def summary_batches(spark, sf_dir):
-    p = load(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("position"), F.ceil(F.col("n_chars") / 4.0).cast("long").alias("token_count"))
-    return context.summary_plan(p, CONFIG.summary_tokens, CONFIG.summary_batch_tokens)
+    """Each document's windows of 100 tokens as its parents, with bounds small enough for them."""
+    p = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.token_windows("text", 100)).alias("position", "text"))
+    return context.summary_plan(p.withColumn("token_count", T.token_count("text")), 900, 350)
 
 
 @query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY lang, doc_id) AS BIGINT) AS passage FROM documents")
@@ -451,19 +480,26 @@ def renumber_passages(spark, sf_dir):
 
 
 @query(
-    r"""SELECT doc_id, string_agg(CAST(n AS VARCHAR), ',' ORDER BY f) AS cited FROM (SELECT doc_id, n, min(g) AS f FROM (
-        SELECT doc_id, unnest([1, 3, 4, doc_id % 9, (doc_id % 9) + 1, (doc_id % 9) + 2, 2, 99]) AS n, unnest(range(8)) AS g FROM documents) GROUP BY doc_id, n) GROUP BY doc_id"""
+    r"""WITH src AS (SELECT doc_id, replace(replace(text, '. ', ' [' || doc_id % 9 || '–' || doc_id % 9 + 2 || ']. '), ', ', ' [' || length(text) % 40 || ', 7-4, 1-30], ') || ' year [2026] [99].' AS text FROM documents),
+    parts AS (SELECT doc_id, flatten(list_transform(regexp_extract_all(text, '\[(\d{1,3}(?:\s*[,\-–]\s*\d{1,3})*)\]', 1), lambda m: string_split(regexp_replace(m, '\s+', '', 'g'), ','))) AS p FROM src),
+    ends AS (SELECT doc_id, list_transform(p, lambda x: list_transform(string_split_regex(x, '[-–]'), lambda y: y::BIGINT)) AS e FROM parts),
+    numbers AS (SELECT doc_id, flatten(list_transform(e, lambda x: CASE WHEN len(x) <> 2 THEN [x[1]] WHEN x[1] <= x[2] AND x[2] - x[1] <= 20 THEN range(x[1], x[2] + 1) ELSE x END)) AS n FROM ends)
+    SELECT doc_id, string_agg(CAST(n AS VARCHAR), ',' ORDER BY f) AS cited FROM (SELECT doc_id, n, min(g) AS f FROM (SELECT doc_id, unnest(n) AS n, unnest(range(len(n))) AS g FROM numbers) GROUP BY doc_id, n) GROUP BY doc_id"""
 )
 def cited_indices(spark, sf_dir):
-    k = F.col("doc_id") % 9
-    text = F.concat(F.lit("A [1, 3-4]. B ["), k.cast("string"), F.lit("–"), (k + 2).cast("string"), F.lit("] C [2, 99] year [2026]."))
+    """Marks after every sentence and clause of the documents: ranges, lists, a reversed and an overlong range, and a year that is none."""
+    k, n = F.col("doc_id") % 9, F.length("text") % 40
+    text = F.replace(F.col("text"), F.lit(". "), F.concat(F.lit(" ["), k.cast("string"), F.lit("–"), (k + 2).cast("string"), F.lit("]. ")))
+    text = F.concat(F.replace(text, F.lit(", "), F.concat(F.lit(" ["), n.cast("string"), F.lit(", 7-4, 1-30], "))), F.lit(" year [2026] [99]."))
     return load(spark, sf_dir, "documents").select("doc_id", F.concat_ws(",", T.cited(text)).alias("cited"))
 
 
-@query("SELECT doc_id, 'Fact [1]. Invented. Mixed [2]. ' || CASE WHEN doc_id % 5 IN (1, 2) THEN 'Own [' || doc_id % 5 || '].' ELSE 'Own.' END AS text FROM documents")
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(translate(text, '[]', '()'), '[ \t]*!', '!', 'g'), '\.', ' [' || CASE WHEN doc_id % 5 = 2 THEN '1][2' ELSE '2' END || '].', 'g')) AS text FROM documents")
 def strip_invalid_markers(spark, sf_dir):
-    text = F.concat(F.lit("Fact [1]. Invented [7]. Mixed [2, 9]. Own ["), (F.col("doc_id") % 5).cast("string"), F.lit("]."))
-    return load(spark, sf_dir, "documents").select("doc_id", T.valid_markers(text, F.array(F.lit(1), F.lit(2))).alias("text"))
+    """Marks of passages that are there and that aren't, after every sentence of the documents."""
+    text = F.regexp_replace(F.translate(F.col("text"), "[]", "()"), "!", " [7]!")
+    text = F.replace(text, F.lit("."), F.when(F.col("doc_id") % 5 == 2, F.lit(" [1-2, 9].")).otherwise(F.lit(" [9, 2, 2].")))
+    return load(spark, sf_dir, "documents").select("doc_id", F.md5(T.valid_markers(text, F.array(F.lit(1), F.lit(2)))).alias("text"))
 
 
 @query("SELECT conv_id, turn, lower(trim(text)) LIKE 'i couldn''t find this in your documents%' OR turn % 3 = 0 AS refused FROM conversations")
@@ -484,10 +520,18 @@ def history_last_n(spark, sf_dir):
     return context.history(load(spark, sf_dir, "conversations"), CONFIG.history_turns, 200)
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace('k AIza' || repeat('a', 24) || ' Bearer ' || md5(text) || ' end', 'AIza[0-9A-Za-z_-]{20,}', '***', 'g'), '(?i)\\bbearer\\s+[A-Za-z0-9._-]{16,}', '***', 'g') AS line, '<redacted ' || length(text) || ' chars>' AS content FROM documents")
+def _scrubbed(x: str) -> str:
+    for pattern in T.SECRETS:
+        x = f"regexp_replace({x}, '{pattern}', '***', 'g')"
+    return x
+
+
+@query(f"""SELECT doc_id, md5({_scrubbed("replace(replace(text, ' in ', ' Bearer ' || md5(text) || ' '), '. ', '. AIza' || md5(lang) || ' gho_' || md5(source) || ' ')")}) AS line, md5({_scrubbed("text")}) AS own, '<redacted ' || length(text) || ' chars>' AS content FROM documents""")
 def scrub_secrets(spark, sf_dir):
-    line = F.concat(F.lit("k AIza" + "a" * 24 + " Bearer "), F.md5("text"), F.lit(" end"))
-    return load(spark, sf_dir, "documents").select("doc_id", T.scrub(line).alias("line"), T.redact(F.lit("content"), "text").alias("content"))
+    """The documents as they are, and with keys put in at every sentence."""
+    line = F.replace(F.col("text"), F.lit(" in "), F.concat(F.lit(" Bearer "), F.md5("text"), F.lit(" ")))
+    line = F.replace(line, F.lit(". "), F.concat(F.lit(". AIza"), F.md5("lang"), F.lit(" gho_"), F.md5("source"), F.lit(" ")))
+    return load(spark, sf_dir, "documents").select("doc_id", F.md5(T.scrub(line)).alias("line"), F.md5(T.scrub("text")).alias("own"), T.redact(F.lit("content"), "text").alias("content"))
 
 
 @query()
@@ -495,7 +539,7 @@ def ask_batch(spark, sf_dir):
     """All benchmark questions answered from all documents, chunked and embedded, in one plan."""
     engine = Engine.build(_documents(spark, sf_dir), CONFIG)
     asked = load(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("request_id"), "text")
-    out = engine.ask(asked, Options(self_correct=False))
+    out = engine.ask(asked)
     return out.select("request_id", "route", "answer", "refused", "grounded", F.size("citations").alias("n_citations"))
 
 
@@ -632,7 +676,7 @@ def cache_invalidate(spark, sf_dir):
 def gold_resolve(spark, sf_dir):
     q = load(spark, sf_dir, "benchmark").select("item_id", T.quotable("text").alias("quote"))
     d = load(spark, sf_dir, "documents").select("doc_id", T.quotable("text").alias("text"))
-    return d.join(sized_broadcast(q), F.col("text").contains(F.col("quote"))).select("item_id", "doc_id")
+    return evaluation.quoted_in(q, d)
 
 
 _GOLD = f"{_bm25()}, gold AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b, documents d WHERE contains({_quotable('d.text')}, {_quotable('b.text')}))"
@@ -719,7 +763,12 @@ def _requests(events):
     return events.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.lit(1).alias("cost"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    walk AS (SELECT user_id, event_id, i, sec, [sec] AS times, true AS allowed FROM r WHERE i = 1
+        UNION ALL SELECT user_id, event_id, i, sec, CASE WHEN len(kept) < 3 THEN list_append(kept, sec) ELSE kept END, len(kept) < 3 FROM (SELECT r.*, list_filter(w.times, lambda t: t > r.sec - 86400.0::DOUBLE) AS kept FROM walk w JOIN r ON r.user_id = w.user_id AND r.i = w.i + 1))
+    SELECT user_id, event_id, allowed, round(CASE WHEN len(times) >= 3 THEN greatest(0.0::DOUBLE, times[1] + 86400.0::DOUBLE - sec) ELSE 0.0::DOUBLE END, 6) AS retry_after FROM walk"""
+)
 def rate_limit_decisions(spark, sf_dir):
     return usage.decide(_requests(load(spark, sf_dir, "events")), 3, 86_400.0)
 

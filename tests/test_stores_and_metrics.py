@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import answer_cache, evaluation, registry, usage
 from lodestone.plans.config import EngineConfig
-from lodestone.plans.service import Engine, Options, follow_ups
+from lodestone.plans.service import UNSUPPORTED, Engine, Options, follow_ups
 from lodestone.sources import elements
 from lodestone.streaming import events
 
@@ -167,6 +167,75 @@ def test_ask(spark, engine):
     assert engine.ask(q.limit(0)).collect() == []
 
 
+def test_routes_without_documents(spark, engine):
+    q = spark.createDataFrame([("1", "what is it about?"), ("2", "summarize everything please"), ("3", "thanks!")], "request_id string, text string")
+    got = {r.request_id: r for r in engine.ask(q).collect()}
+    assert got["1"].route == "out_of_scope" and got["1"].refused and "2 documents" in got["1"].answer
+    assert got["2"].answer == "Which document should I summarize?" and not got["2"].refused
+    assert got["3"].route == "chitchat"
+
+
+def test_two_documents_are_compared_unnamed(spark, engine):
+    got = engine.ask(spark.createDataFrame([("1", "Compare the sick leave and the battery")], "request_id string, text string")).first()
+    assert got.route == "compare_documents" and "twelve days" in got.answer and "90 minutes" in got.answer and len({c["parent_id"] for c in got.citations}) == 2
+
+
+def test_long_documents_are_summarized_in_batches(spark):
+    d = spark.createDataFrame([("long", "\n\n".join(f"## Part {i}\n\nFact number {i} stands here. " + "More words follow it. " * 30 for i in range(12)))], "doc_id string, md string").withColumn("p", elements.markdown_elements("md"))
+    small = EngineConfig(embedding_dim=128, parent_tokens=256, summary_tokens=400, summary_batch_tokens=400)
+    e = Engine.build(d.select("doc_id", F.lit("Long book").alias("title"), F.col("p.elements").alias("elements")), small)
+    got = e.ask(spark.createDataFrame([("1", "Give me a summary of the long book"), ("2", "fact number 7")], "request_id string, text string"), Options(mode="summarize_document")).collect()
+    for r in got:
+        assert r.route == "summarize_document" and r.grounded is None and all(f"Fact number {i} " in r.answer or f"Part {i}" in r.answer for i in (0, 11)) and "\n" in r.answer
+
+
+def test_cached_answers_come_back(spark, engine):
+    scope = "'kb' AS collection, 1L AS kb_version, 'f' AS fingerprint"
+    q = spark.createDataFrame([("1", "How long does the X1 battery take to charge?"), ("2", "How many days of sick leave?")], "request_id string, text string").selectExpr("*", *scope.split(", "))
+    cache = spark.createDataFrame([(7, "How long does the X1 battery take to charge?")], "id long, question string").selectExpr("*", *scope.split(", "))
+    cache = cache.withColumn("embedding", engine.embedder.queries(F.col("question"))).selectExpr("*", "'from before [1]' AS answer", "true AS grounded", "array(named_struct('index', 1, 'parent_id', 'p')) AS citations")
+    got = {r.request_id: r for r in engine.ask(q, cache=cache).collect()}
+    assert got["1"].cached and got["1"].answer == "from before [1]" and got["1"].citations[0]["parent_id"] == "p"
+    assert not got["2"].cached and "twelve days" in got["2"].answer
+
+
+def test_query_plans(spark, engine):
+    q = spark.createDataFrame([("1", "and how?", "User: How long does charging take\nAssistant: Ninety."), ("2", "How long does charging take?", None)], "request_id string, text string, history string")
+    got = sorted(map(tuple, engine.query_plan(q, variants=True, hyde=True).collect()))
+    assert got[0] == ("1", 0, "standalone", "How long does charging take and how?")
+    assert ("2", 0, "original", "How long does charging take?") in got
+    assert [r[2] for r in got if r[0] == "2"] == ["original", "variant", "variant"] and "hyde" not in {r[2] for r in got}
+
+
+class Doubtful:
+    """Writes what no passage says, and the second time what one does (or not)."""
+
+    def __init__(self, second):
+        from lodestone.plans.providers import Extracts
+
+        self.inner, self.second = Extracts(), second
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+    def answer(self, question, passages):
+        return F.lit("The moon is made of tin [1].")
+
+    def again(self, question, passages, answer):
+        return F.lit(self.second)
+
+
+def test_unsupported_answers_are_written_again_then_refused(spark, engine):
+    from dataclasses import replace
+
+    q = spark.createDataFrame([("1", "How long does the X1 battery take to charge?")], "request_id string, text string")
+    good = replace(engine, writer=Doubtful("The X1 battery takes 90 minutes to charge fully. [1]")).ask(q).first()
+    assert good.answer.startswith("The X1 battery") and good.grounded and not good.refused
+    bad = replace(engine, writer=Doubtful("The sun is made of tin [1].")).ask(q).first()
+    assert bad.refused and bad.grounded is False and bad.citations == [] and bad.answer == UNSUPPORTED
+    assert replace(engine, writer=Doubtful("x")).ask(q, Options(self_correct=False)).first().answer == "The moon is made of tin [1]."
+
+
 def test_scope(spark, engine):
     q = spark.createDataFrame([("1", "sick leave days")], "request_id string, text string")
     only = {r.request_id: r for r in engine.ask(q, Options(doc_ids=("guide",), self_correct=False)).collect()}
