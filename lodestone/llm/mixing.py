@@ -131,9 +131,10 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     takes = met.select(*keys(F.col("b._id"), F.col("b._source"), F.col("b._text_h")), F.struct(F.col("b._copy").alias("copy"), F.col("a._pass").alias("pass"), F.col("a._from").alias("from"), F.col("a._to").alias("to"), F.col("b.size").alias("size")).alias("t"))
     takes = takes.groupBy("_k1", "_k2").agg(F.collect_list("t").alias("_takes"))
     # the rows go along as one struct, so that none of their names meets these
-    d = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"), *keys(F.col(id_col), F.col(source_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
+    d = docs.select(F.struct("*").alias("_row"), *keys(F.col(id_col), F.col(source_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
     d = d.withColumn("_copy", F.row_number().over(W.partitionBy("_k1", "_k2").orderBy(F.lit(0)))).join(takes, ["_k1", "_k2"])
     d = d.withColumn("_take", F.explode(F.filter("_takes", lambda x: x["copy"] == F.col("_copy"))))
+    d = d.withColumn("_text", F.col("_row")[text_col])
     whole = (F.col("_take.from") == 0) & (F.col("_take.to") == F.col("_take.size"))
     cut = F.array_join(F.slice(words(F.col("_text")), F.col("_take.from").cast("int") + 1, (F.col("_take.to") - F.col("_take.from")).cast("int")), " ")
     d = d.withColumn("_new", F.when(whole, F.col("_text")).otherwise(cut))

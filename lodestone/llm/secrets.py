@@ -164,8 +164,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
     found = scan(keyed, "k", "text", false_share).where(F.size("spans") > 0)
     found = found.groupBy(F.col("_id.i").alias("_i"), F.col("_id.h").alias("_h")).agg(F.first("spans").alias("_spans"))
     # the rows go along as one struct, so that none of their names meets these
-    met = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_own"), F.col(text_col).alias("_text"), h.alias("_text_h"))
-    met = met.join(found, F.col("_own").eqNullSafe(F.col("_i")) & (F.col("_text_h") == F.col("_h")), "left")
+    met = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_own"), h.alias("_text_h"))
+    met = met.join(found, F.col("_own").eqNullSafe(F.col("_i")) & (F.col("_text_h") == F.col("_h")), "left").withColumn("_text", F.col("_row")[text_col])
     fold = f"""aggregate(_spans, struct(0 AS at, array('') AS parts),
         (a, x) -> CASE WHEN x.start >= a.at THEN struct(CAST(x.end AS INT) AS at, concat(a.parts, array(substring(_text, a.at + 1, CAST(x.start AS INT) - a.at), '{mark}')) AS parts)
                        ELSE struct(CAST(greatest(a.at, x.end) AS INT) AS at, a.parts AS parts) END,

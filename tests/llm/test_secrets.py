@@ -1,8 +1,12 @@
 import hashlib
+import math
 import random
 import re
 import string
 
+import pytest
+
+from lodestone.llm import secrets
 from lodestone.llm.secrets import digests, redact
 
 PATTERNS = [
@@ -84,3 +88,52 @@ def test_redact_names_do_not_clash(spark, no_docs):
     assert out.columns == [c.split()[0] for c in cols.split(", ")]
     assert {tuple(r) for r in out.collect()} == {(1, "[SECRET] done", 13, 1, 2, "s", 3, "n", 4), rows[1], rows[2]}
     assert redact(no_docs).collect() == []
+
+
+def test_battery_equals_brute_force(spark):
+    """Encoding, length's power of two and p of each token, test by test in Python."""
+    rng = random.Random(8)
+    abc = {name: chars for name, _, chars in secrets.ENCODINGS}
+    tokens = ["".join(rng.choice(abc[name]) for _ in range(rng.randrange(20, 90))) for name in abc for _ in range(4)] + ["a1" * 15, "aaaaaaaaaaaaaaaaaaa1", "release-candidate-service-9", "0" * 19 + "a", "Zm9vYmFyYmF6cXV4MTIzNA=="]
+
+    def tail(z):
+        z = max(-12.0, min(12.0, z))
+        return 1 / (1 + math.exp(1.5976 * z + 0.070565992 * z**3))
+
+    def want(token):
+        name = next(n for n, pattern, _ in secrets.ENCODINGS if re.search(pattern, token))
+        x = [abc[name].index(c) for c in token.rstrip("=")]
+        n, k = len(x), len(abc[name])
+        chi = k / n * sum(x.count(j) ** 2 for j in range(k)) - n
+        z1 = (chi - (k - 1)) / math.sqrt(2 * (k - 1) * (1 - 1 / n))
+        hi = [v >= k / 2 for v in x]
+        both = 2 * sum(hi) * (n - sum(hi))
+        var = both * (both - n) / (n * n * (n - 1))
+        z2 = abs((sum(a != b for a, b in zip(hi, hi[1:])) - both / n) / math.sqrt(var)) if both > n and var > 0 else 12.0
+        mean = sum(x) / n
+        v = sum((a - mean) ** 2 for a in x)
+        z3 = abs(sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / v + 1 / n) * math.sqrt(n) if v else 12.0
+        return name, int(math.log2(n)), min(1.0, 3 * min(tail(z1), 2 * tail(z2), 2 * tail(z3)))
+
+    got = {r.found: r for r in secrets.battery(spark.createDataFrame([(t,) for t in tokens], "found string")).collect()}
+    for t in tokens:
+        name, stratum, p = want(t)
+        assert (got[t].encoding, got[t].stratum) == (name, stratum) and got[t].p == pytest.approx(p, abs=1e-9)
+
+
+def test_cuts_leave_few_false_ones(spark):
+    """Of many random tokens most are told; of many that crowd near p = 0 next to none, alone or beside random ones."""
+    rng = random.Random(3)
+    noise = lambda n: [("base62", 5, 0.06 * rng.random() ** 2) for _ in range(n)]
+    true = lambda n: [("base62", 5, rng.random()) for _ in range(n)]
+
+    def told(rows):
+        cut = secrets.cut_points(spark.createDataFrame(rows, "encoding string, stratum int, p double")).where("stratum = 5").collect()
+        least = cut[0].least_bin if cut else secrets.P_BINS
+        return lambda part: sum(int(p * secrets.P_BINS) >= least for _, _, p in part)
+
+    a, b = true(400), noise(2000)
+    mixed = told(a + b)
+    assert mixed(a) >= 0.85 * 400 and mixed(b) <= 0.15 * (mixed(a) + mixed(b))
+    assert told(a)(a) >= 0.9 * 400
+    assert told(b)(b) == 0
