@@ -181,7 +181,8 @@ def _paths(suspects: DataFrame, scratch: Scratch) -> DataFrame:
     places = dup.where("_id = source_id").groupBy("window").agg(F.min(F.struct("at", "text")).alias("p"))
     places = scratch.write(places.select("window", F.col("p.at").alias("source_start"), F.col("p.text").alias("source_text")), "places")
     dup = dup.where("_id > source_id OR _id IS NULL").join(places, "window")
-    dup = dup.select("_id", "text", "at", "window", "source_id", "source_text", "source_start").distinct()
+    # a place names its window, so its hash is no key here: rows are dealt anew, and the join before may split a hot window
+    dup = dup.select("_id", "text", "at", "window", "source_id", "source_text", "source_start").dropDuplicates(["_id", "text", "at"])
     # nonbranching: the next window of the text follows the same source; paths end where it doesn't
     by = W.partitionBy("_id", "text").orderBy("at")
     same = (F.lag("source_id").over(by) == F.col("source_id")) & (F.lag("source_text").over(by) == F.col("source_text"))
