@@ -22,6 +22,8 @@ from lodestone.llm.common import Scratch, small_side
 
 #: Feature places; labelled rows a language gives at most, and those of them that are landmarks; ridge.
 DIMS, ROWS, LANDMARKS, RIDGE = 1 << 15, 300, 60, 0.01
+#: Landmarks of all languages together at most (128 KB each to the driver's matrix): of many languages, each has fewer.
+MOST_LANDMARKS = 1500
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[[i for i in range(128) if not (65 <= i <= 90 or 97 <= i <= 122)]] = 32
@@ -60,26 +62,31 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, rows: int = ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
     """Languages and the DIMS x languages matrix, from `labelled` (key, text, lang): the `rows` rows of each language
-    whose keys hash least, so from languages x rows texts at most, of which the driver gets 4 KB each."""
+    whose keys hash least (ties: key, text), so from languages x rows texts at most, of which the driver gets 4 KB each. It
+    unpacks the landmarks, MOST_LANDMARKS at most, and the others 256 at a time."""
     spread = 1 << 32
     hashed = labelled.withColumn("_h", F.pmod(F.xxhash64("key"), F.lit(spread)))
     # rows that can't be among the first are left where they are: four times as many as wanted pass, about
     limits = hashed.groupBy(F.col("lang").alias("_l")).agg((4.0 * rows * spread / F.count("*")).alias("_most"))
     near = hashed.join(small_side(Scratch(labelled.sparkSession).write(limits, "limits")), F.col("lang") == F.col("_l")).where(F.col("_h") <= F.col("_most"))
-    order = W.partitionBy("lang").orderBy("_h", "key")
+    order = W.partitionBy("lang").orderBy("_h", "key", F.xxhash64("text"))
     some = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows)
     got = some.select("lang", "place", "text").mapInArrow(_featurize, "lang string, place int, bits binary").orderBy("lang", "place").collect()
     if not got:
         return [], np.zeros((DIMS, 0), np.float32)
     langs = sorted({r.lang for r in got})
-    x = np.unpackbits(np.frombuffer(b"".join(r.bits for r in got), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    marks = x[[r.place <= landmarks for r in got]]
+
+    def unpacked(rows_: list) -> np.ndarray:
+        x = np.unpackbits(np.frombuffer(b"".join(r.bits for r in rows_), np.uint8).reshape(len(rows_), -1), axis=1).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+    each = min(landmarks, max(1, MOST_LANDMARKS // len(langs)))
+    marks = unpacked([r for r in got if r.place <= each])
     y = np.array([[1.0 if r.lang == c else 0.0 for c in langs] for r in got])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     ok = values > 1e-8 * values.max()
     half = vectors[:, ok] / np.sqrt(values[ok])  # K_mm^-1/2, so that z = k(x, landmarks) @ half
-    z = (x @ marks.T).astype(np.float64) @ half
+    z = np.concatenate([(unpacked(got[a : a + 256]) @ marks.T).astype(np.float64) @ half for a in range(0, len(got), 256)])
     w = np.linalg.solve(z.T @ z + ridge * len(got) * np.eye(z.shape[1]), z.T @ y)
     return langs, (marks.T @ (half @ w)).astype(np.float32)
 
