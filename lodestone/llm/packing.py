@@ -87,7 +87,9 @@ def cut_documents(docs: DataFrame, id_col: str, text_col: str, path: str, size:
 
 
 def pack(pieces: DataFrame, size: int, group_items: int = GROUP_ITEMS) -> tuple[DataFrame, list[dict]]:
-    """Adds sequence_id and offset to `pieces` (which has `length`), and says per round: groups, bins, lower bound, gap groups.
+    """Adds sequence_id, offset and certified to `pieces` (which has `length`), and says per round: groups, bins, gap groups.
+
+    certified: the sequence is full, or its group has as few as the lower bound allows; else the group kept a gap.
 
     Round 0 deals the pieces shorter than `size` over groups of about `group_items`, each packed best-fit decreasing
     and certified by `lower_bound`. Full bins, and all bins of groups at their bound, are closed. Groups with a gap
@@ -107,7 +109,7 @@ def pack(pieces: DataFrame, size: int, group_items: int = GROUP_ITEMS) -> tuple[
         gap = len(loads) - lower_bound(lengths, size)
         return pdf.assign(_bin=bins, offset=offsets, _gap=gap, _first=offsets == 0, _closed=(loads[bins] == size) | (gap == 0))
 
-    done = [pieces.where(F.col("length") >= size).select(*columns, F.lit(0).alias("_round"), F.xxhash64("_id", "piece", "ids_crc32").alias("_group"), F.monotonically_increasing_id().alias("_bin"), F.lit(0).cast("long").alias("offset"))]
+    done = [pieces.where(F.col("length") >= size).select(*columns, F.lit(0).alias("_round"), F.xxhash64("_id", "piece", "ids_crc32").alias("_group"), F.monotonically_increasing_id().alias("_bin"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))]
     open_, told, groups, before = pieces.where(F.col("length") < size), [], None, None
     for k in range(1, ROUNDS + 1):
         wanted = max(1, -(-open_.count() // group_items))
@@ -120,7 +122,7 @@ def pack(pieces: DataFrame, size: int, group_items: int = GROUP_ITEMS) -> tuple[
             done.append(kept)
             break
         told.append({"round": k, "groups": groups, "bins": seen.bins or 0, "gap_groups": seen.gap_groups})
-        as_done = lambda t, r: t.select(*columns, F.lit(r).alias("_round"), F.col("_group").cast("long"), "_bin", "offset")  # noqa: B023, E731
+        as_done = lambda t, r: t.select(*columns, F.lit(r).alias("_round"), F.col("_group").cast("long"), "_bin", "offset", F.col("_closed").alias("certified"))  # noqa: B023, E731
         done.append(as_done(now.where("_closed"), k))
         kept, before = as_done(now.where("NOT _closed"), k), seen.open_bins
         if not seen.open_pieces:
@@ -133,7 +135,7 @@ def pack(pieces: DataFrame, size: int, group_items: int = GROUP_ITEMS) -> tuple[
     for t in done[1:]:
         out = out.unionByName(t)
     number = F.when(F.col("_round") == 0, F.col("_bin")).otherwise(F.col("_round").cast("long") * (1 << 58) + F.col("_group") * (1 << 32) + F.col("_bin"))
-    return out.select(*columns, number.alias("sequence_id"), "offset"), told
+    return out.select(*columns, number.alias("sequence_id"), "offset", "certified"), told
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, size: int = 2048, end_id: int = 0, group_items: int = GROUP_ITEMS) -> DataFrame:
@@ -141,7 +143,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A document is its token ids and `end_id`. Only longer ones are cut; all pieces but the first then have `size`
     tokens. Null text counts as empty (one piece, `end_id` alone); a null id stays null; each repeated row is a
-    document of its own; an empty table gives no row; other columns are ignored.
+    document of its own; an empty table gives no row; very long texts are encoded whole; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     pieces = scratch.write(cut_documents(docs, id_col, text_col, path or bpe.default_path(), size, end_id), "pieces")

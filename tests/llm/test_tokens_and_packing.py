@@ -34,6 +34,12 @@ def test_ids_of_long_runs(library):
         assert tok.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_all_documents(spark, library):
+    tok = bpe.load(bpe.default_path())
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").toLocalIterator():
+        assert tok.ids(r.text or "").tolist() == library.encode(r.text or "", add_special_tokens=False).ids
+
+
 def test_counts_are_the_librarys(spark, library, odd_docs, real_docs, no_docs):
     for docs in (odd_docs, real_docs):
         got = sorted(((r.doc_id is None, r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in count_tokens(docs).collect()), key=str)
