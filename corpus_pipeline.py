@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
 All but the last return the columns of `documents`.
+
+Each stage takes nulls in any column, empty and very long texts, repeated rows, empty tables and further columns of any
+name: an empty table gives an empty one, other columns pass through, and what else holds is said with the operator.
 """
 
 from __future__ import annotations
@@ -13,27 +16,27 @@ from lodestone.llm.common import Scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the base or the adaptive cuts reject go."""
+    """Rows that the base or the adaptive cuts reject go, those with null or empty texts among them."""
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of texts alike to 0.8 in five-word shingles stays."""
+    """One row of each component of texts alike to 0.8 in five-word shingles stays, and all without a word."""
     return near.representatives(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are blotted out of the texts."""
+    """Secrets are blotted out of the texts; null texts stay null."""
     return secrets.redact(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often, and as far, as the mix takes them."""
+    """Rows as often, and as far, as the mix takes them; rows without a word go."""
     return mixing.take(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's pieces in sequences of 2048 tokens."""
+    """Every row's pieces in sequences of 2048 tokens; a null text is one of no words."""
     return packing.pack_documents(docs)
 
 
