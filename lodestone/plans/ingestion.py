@@ -121,6 +121,19 @@ def opened(store: registry.Store, config: EngineConfig | None = None, embedder:
     return Engine(chunks, parents, config, embedder, **more)
 
 
+class Current:
+    """The engine over a store's newest version, made anew once a version was published."""
+
+    def __init__(self, store: registry.Store, config: EngineConfig | None = None, embedder: Embedder | None = None):
+        self.store, self.args, self.version, self.engine = store, (config, embedder), None, None
+
+    def get(self) -> Engine:
+        version = self.store.manifest()["version"]
+        if version != self.version:
+            self.engine, self.version = opened(self.store, *self.args), version
+        return self.engine
+
+
 def stats(store: registry.Store) -> dict:
     """Version, space and counts of a store: documents, parents, chunks, cached answers."""
     now = store.manifest()

@@ -5,10 +5,14 @@ lines: doc_id, page, n (order on the page), text, size, bold, rel_top, x0, y0, x
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.operators.chunking import ELEMENTS, _whole
+from lodestone.sources.elements import LISTED
+
 
 def outside_tables(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     """Lines whose centre is in no table box (doc_id, page, x0, y0, x1, y1) of their page."""
@@ -73,3 +77,40 @@ def merge_continuations(elements: list[dict]) -> list[dict]:
         else:
             out.append(dict(e))
     return [{k: v for k, v in e.items() if k != "last_page"} for e in out]
+
+
+@F.pandas_udf(ELEMENTS)
+def continued(elements: pd.Series) -> pd.Series:
+    """merge_continuations() of each row's elements."""
+    return elements.map(lambda es: None if es is None else merge_continuations([_whole(e) for e in es]))
+
+
+def assembled(lines: DataFrame, tables: DataFrame) -> DataFrame:
+    """doc_id, elements from lines (doc_id, page, n, block, y0, text, level) and tables (doc_id, page, y0, text), page by page.
+
+    Lines of one block are one paragraph; a heading that wraps is one heading, over blocks too; bullets of neighbouring
+    blocks are one list, and their wrapped lines stay with them. A table stands before the first line that begins below
+    its top. What a page's end cut is joined.
+    """
+    l = lines.select("doc_id", "page", "n", "block", "y0", F.trim("text").alias("text"), "level").where("text <> ''")
+    by = W.partitionBy("doc_id", "page").orderBy("n")
+    bullet = F.col("text").rlike(LISTED)
+    same_block = F.col("block") == F.lag("block").over(by)
+    # a line after a bullet in the bullet's block is its wrapped end
+    l = l.withColumn("_bullet", bullet).withColumn("_in", F.max(F.when(bullet, F.col("n"))).over(W.partitionBy("doc_id", "page", "block").orderBy("n").rowsBetween(W.unboundedPreceding, 0)))
+    kind = F.when(F.col("level").isNotNull(), "heading").when(F.col("_in").isNotNull(), "list").otherwise("paragraph")
+    l = l.withColumn("kind", kind)
+    alike = (F.col("kind") == F.lag("kind").over(by)) & ((F.col("kind") == "list") | (F.col("kind") == "heading") & (F.col("level") == F.lag("level").over(by)) | same_block)
+    l = l.withColumn("_no", F.sum(F.when(F.coalesce(alike, F.lit(False)), 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    parts = F.array_sort(F.collect_list(F.struct("n", "text", "_bullet")))
+    texts = F.transform(F.col("_parts"), lambda x: x["text"])
+    items = F.aggregate("_parts", F.lit(""), lambda a, x: F.when(a == "", x["text"]).when(x["_bullet"], F.concat(a, F.lit("\n"), x["text"])).otherwise(F.concat(a, F.lit(" "), x["text"])))
+    text = F.when(F.col("kind") == "heading", F.array_join(texts, " ")).when(F.col("kind") == "list", items).otherwise(joined_lines(texts))
+    found = l.groupBy("doc_id", "page", "_no", "kind").agg(parts.alias("_parts"), F.first("level").alias("level"), F.min("y0").alias("y0")).withColumn("text", text)
+    t = tables.select("doc_id", "page", F.lit(0).alias("_no"), F.lit("table").alias("kind"), F.lit(None).cast("int").alias("level"), "y0", "text")
+    first = found.select("doc_id", "page", F.col("_no").alias("_at"), F.col("y0").alias("_y"))
+    place = t.join(first, ["doc_id", "page"], "left").groupBy("doc_id", "page", "kind", "level", "y0", "text").agg(F.min(F.when(F.col("_y") >= F.col("y0"), F.col("_at"))).alias("_no"))
+    every = found.select("doc_id", "page", "_no", F.lit(1).alias("_z"), "y0", "kind", "text", F.col("level").cast("int").alias("level"))
+    every = every.unionByName(place.select("doc_id", "page", F.coalesce(F.col("_no"), F.lit(2**62)).alias("_no"), F.lit(0).alias("_z"), "y0", "kind", "text", "level"))
+    listed = every.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("page").alias("_p"), "_no", "_z", "y0", "kind", "text", "level"))).alias("e"))
+    return listed.select("doc_id", continued(F.transform("e", lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"), x["level"].alias("level"), x["_p"].cast("int").alias("page")))).alias("elements"))

@@ -32,6 +32,13 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return w.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def usage(calls: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """start, model, calls and tokens of a stream of priced model calls (ts, model, prompt_tokens, output_tokens, cost_usd)."""
+    w = _timed(calls, late).groupBy(F.window("at", width), "model")
+    sums = w.agg(F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("cost_usd").alias("cost_usd"))
+    return sums.select(F.col("window.start").alias("start"), "model", "calls", "prompt_tokens", "output_tokens", "cost_usd")
+
+
 def limiter(limit: int = 20, seconds: float = 60.0) -> Callable:
     """A stateful function of requests (user_id, event_id, at seconds, cost) for applyInPandasWithState: state is the live times."""
 

@@ -186,3 +186,18 @@ def test_layout(spark):
     assert joined == "self-contained Text"
     merged = layout.merge_continuations([p("starts here", page=1), p("and ends.", page=2), p(table(1), "table", page=2), p(table(2), "table", page=3)])
     assert merged[0]["text"] == "starts here and ends." and merged[1]["text"].count("\n") == 4 and len(merged) == 2
+
+
+def test_lines_become_elements(spark):
+    rows = [
+        (1, 0, 0, 10.0, "Kiln", 1), (1, 1, 1, 20.0, "care", 1), (1, 2, 2, 30.0, "Burn it in", None), (1, 3, 2, 40.0, "slow-", None), (1, 4, 2, 50.0, "ly at first.", None), (1, 5, 3, 60.0, "• one", None),
+        (1, 6, 3, 70.0, "wrapped", None), (1, 7, 4, 80.0, "• two", None), (1, 8, 5, 120.0, "The end goes", None), (2, 0, 0, 10.0, "over the page.", None), (2, 1, 1, 20.0, "   ", None), (2, 2, 2, 30.0, "Next.", None),
+    ]
+    lines = spark.createDataFrame([("d", *r) for r in rows], "doc_id string, page int, n int, block int, y0 double, text string, level int")
+    tables = spark.createDataFrame([("d", 1, 90.0, "| a | b |\n|---|---|\n| 1 | 2 |"), ("d", 2, 99.0, "| c | d |\n|---|---|\n| 3 | 4 |"), ("e", 1, 1.0, "| x | y |\n|---|---|\n| 5 | 6 |")], "doc_id string, page int, y0 double, text string")
+    got = {r.doc_id: [(e["kind"], e["text"], e["level"]) for e in r.elements] for r in layout.assembled(lines, tables).collect()}
+    assert got["d"] == [
+        ("heading", "Kiln care", 1), ("paragraph", "Burn it in slow-ly at first.", None), ("list", "• one wrapped\n• two", None), ("table", "| a | b |\n|---|---|\n| 1 | 2 |", None),
+        ("paragraph", "The end goes over the page.", None), ("paragraph", "Next.", None), ("table", "| c | d |\n|---|---|\n| 3 | 4 |", None),
+    ]
+    assert [e[0] for e in got["e"]] == ["table"]

@@ -113,3 +113,16 @@ def test_engine_needs_something(spark, tmp_path):
     with pytest.raises(ValueError):
         ingestion.opened(registry.Store(spark, str(tmp_path), "none"))
     assert ingestion.clear_cache(registry.Store(spark, str(tmp_path), "none")) == 0
+
+
+def test_an_engine_follows_versions(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.md").write_text("# Alpha\n\nAlpha kilns reach 1200 degrees.")
+    store = registry.Store(spark, str(tmp_path / "kb"), "c")
+    ingestion.ingest_directory(store, str(tmp_path / "src"), CONFIG)
+    now = ingestion.Current(store, CONFIG)
+    first = now.get()
+    assert now.get() is first
+    (tmp_path / "src" / "b.md").write_text("# Beta\n\nBeta kilns are wide.")
+    ingestion.ingest_directory(store, str(tmp_path / "src"), CONFIG)
+    assert now.get() is not first and now.get().chunks.count() == 2

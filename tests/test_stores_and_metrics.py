@@ -246,3 +246,33 @@ def test_scope(spark, engine):
 def test_follow_ups(spark):
     s = spark.createDataFrame([("r", 1, " What  now? "), ("r", 2, "what now"), ("r", 3, "x" * 130), ("r", 4, "And then"), ("r", 5, "Third?"), ("r", 6, "Fourth?")], "request_id string, pos int, text string")
     assert follow_ups(s).first().questions == ["What now?", "And then?", "Third?"]
+
+
+def test_the_first_ready_reranker_scores(spark, engine):
+    from dataclasses import replace
+
+    from lodestone.plans.providers import FirstReady, TermCoverage
+
+    class Broken(TermCoverage):
+        tried = 0
+
+        def warm_up(self):
+            Broken.tried += 1
+            raise OSError("no model")
+
+    q = engine.query_plan(spark.createDataFrame([("1", "How long does the X1 battery take to charge?")], "request_id string, text string"))
+    second = replace(engine, reranker=FirstReady(Broken(), TermCoverage()))
+    assert second.retrieve(q).orderBy("rank").first().rerank_score > 0 and second.retrieve(q).count() and Broken.tried == 1
+    none = replace(engine, reranker=FirstReady(Broken()))
+    kept = [r.chunk_id for r in none.retrieve(q).orderBy("rank").collect()]
+    assert kept == [r.chunk_id for r in engine.retrieve(q, Options(rerank=False)).orderBy("rank").collect()] and kept
+    with pytest.raises(RuntimeError):
+        FirstReady().score(F.lit("a"), F.lit("b"))
+
+
+def test_usage_as_a_stream(spark, tmp_path):
+    rows = [(dt.datetime(2026, 1, 1, h, m), f"m{h % 2}", 10 * m, m, 0.5) for h in range(4) for m in (0, 10, 50)]
+    spark.createDataFrame(rows, "ts timestamp, model string, prompt_tokens long, output_tokens long, cost_usd double").write.parquet(str(tmp_path / "calls"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "calls")).schema).parquet(str(tmp_path / "calls"))
+    got = events.drained(events.usage(stream), "usage_stream").collect()
+    assert sorted((r.start.hour, r.model, r.calls, r.prompt_tokens, r.output_tokens, r.cost_usd) for r in got) == [(h, f"m{h % 2}", 3, 600, 60, 1.5) for h in range(4)]
