@@ -21,7 +21,8 @@ PRIOR = 16
 
 
 def _count(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    """Code points of a character class. Taking out what is rare is cheap, taking out all else is not."""
+    return (F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))).cast("long")
 
 
 def base_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -33,12 +34,11 @@ def base_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = docs.withColumn("_t", text).withColumn("_w", words(F.col("_t")))
     d = d.withColumn("_n", F.size("_w").cast("long"))
     three = F.when(F.col("_n") >= 3, F.expr("transform(sequence(0, CAST(_n AS INT) - 3), i -> struct(xxhash64(_w[i], _w[i + 1], _w[i + 2]) AS h, i AS i))"))
-    d = d.withColumn("_g", F.array_sort(three))
-    d = d.withColumn("_p", F.expr("array_sort(transform(filter(_g, (x, i) -> coalesce(get(_g, i - 1).h = x.h, false) OR coalesce(get(_g, i + 1).h = x.h, false)), x -> x.i))"))
+    d = d.withColumn("_g", F.sort_array(three))
+    d = d.withColumn("_p", F.expr("sort_array(transform(filter(_g, (x, i) -> coalesce(get(_g, i - 1).h = x.h, false) OR coalesce(get(_g, i + 1).h = x.h, false)), x -> x.i))"))
     repeated = F.expr("coalesce(aggregate(transform(_p, (x, i) -> least(3, coalesce(get(_p, i + 1) - x, 3))), 0L, (a, x) -> a + x), 0L)")
     lines = F.filter(F.split(F.col("_t"), "\n", -1), lambda x: x.rlike(WORD))
     d = d.withColumn("_l", lines)
-    upper = F.length(F.regexp_replace("_t", r"[^A-ZÀ-ÖØ-Þ]+", "")).cast("long")
     d = d.select(
         *docs.columns,
         F.col("_n").alias("n_words"),
@@ -47,7 +47,7 @@ def base_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         repeated.alias("n_repeat_words"),
         F.size("_l").cast("long").alias("_lines"),
-        upper.alias("_upper"),
+        _count(F.col("_t"), "A-ZÀ-ÖØ-Þ").alias("_upper"),
         _count(F.col("_t"), "!").alias("_shouts"),
     )
     rate = lambda a, b: F.expr(f"CAST({a} * 10000 DIV greatest({b}, 1) AS LONG)")
