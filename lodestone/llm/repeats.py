@@ -29,6 +29,8 @@ from lodestone.llm.common import Scratch
 WINDOW, EDGE = 50, 16
 #: Bits of a window's hash, and spans that one row asks a text for.
 HASH_BITS, ASKS = 64, 1000
+#: Repeated edges that a Bloom filter tells well from others; with more, texts are moved to their edges.
+FILTER_EDGES = bloom.MOST_BITS // 16
 
 
 def _words(text: bytes) -> bytes:
@@ -83,15 +85,15 @@ def _sampled(window: int, edge: int, salt: int, mask: int):
 
 
 def _suspects(window: int, edge: int, salt: int, mask: int, repeated, told=None):
-    """_id, text, at, window: the windows over an edge that may be repeated; of them, where told is given, those whose hash
-    is among it, with the digest of their words in place of the hash."""
+    """_id, text, at, window: the windows over an edge that may be repeated (in the filter, or, without one, among the row's
+    edges); of them, where told is given, those whose hash is among it, with the digest of their words in place of the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, bounds in textvec.blocks(batch.column(1)):
                 joined, _, text = _texts(data, bounds, salt)
                 _, row, at, least, g = _windows(data, bounds, window, edge, mask)
-                ok = bloom.holds(repeated.value, least)
+                ok = bloom.holds(repeated.value, least) if repeated is not None else _among(row, least, batch.column(2).slice(first, len(bounds) - 1))
                 if told is not None:
                     ok &= bloom.holds(told.value, textvec.mix(g))
                 row, at, g = row[ok], at[ok], g[ok]
@@ -103,6 +105,27 @@ def _suspects(window: int, edge: int, salt: int, mask: int, repeated, told=None)
     return run
 
 
+def _among(row: np.ndarray, edges: np.ndarray, lists: pa.ListArray) -> np.ndarray:
+    """Which edges are in their row's list."""
+    starts = np.searchsorted(row, np.arange(len(lists) + 1))
+    ok = np.zeros(len(row), bool)
+    for i, held in enumerate(lists):
+        a, b = starts[i], starts[i + 1]
+        if b > a and held.is_valid:
+            ok[a:b] = np.isin(edges[a:b], held.values.to_numpy().view(np.uint64))
+    return ok
+
+
+def _named(salt: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, bounds in textvec.blocks(batch.column(1)):
+                joined, _, text = _texts(data, bounds, salt)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(joined)), pa.array([w.decode() for w in joined], pa.string()), pa.array(text, pa.int64())], names=["_id", "words", "text"])
+
+    return run
+
+
 def _window_digests(joined: list[bytes], rows: np.ndarray, at: np.ndarray, window: int) -> list[bytes]:
     out, held, words = [], -1, []
     for row, a in zip(rows.tolist(), at.tolist()):
@@ -228,15 +251,23 @@ def _found(docs: DataFrame, id_col: str, text_col: str, window: int, edge: int)
     rows, salt = _numbered(known, scratch, kind, window, edge, mask)
     edges = rows.where("edges IS NOT NULL").select("text", F.explode("edges").alias("edge"))
     twice = edges.groupBy("edge").agg(F.min("text").alias("x"), F.max("text").alias("y")).where("x < y").select("edge")
-    repeated = spark.sparkContext.broadcast(bloom.build(scratch.write(twice, "repeated"), "edge"))
+    twice = scratch.write(twice, "repeated")
+    few = twice.count() <= FILTER_EDGES
+    repeated = spark.sparkContext.broadcast(bloom.build(twice, "edge")) if few else None
 
     ids = rows.where("n > 0").groupBy("text").agg(F.min("_id").alias("first"), F.max("_id").alias("last"))
     copies = scratch.write(ids.where("first < last").select("text", "first"), "copies")
     whole = rows.where(F.col("n") >= window).select("_id", "text", "n").join(copies, "text").where("_id > first OR _id IS NULL")
     whole = whole.select("_id", "text", F.lit(0).alias("start"), F.col("n").cast("int").alias("end"), F.col("first").alias("source_id"), F.lit(0).alias("source_start"))
 
+    suspected = known
+    if not few:  # more than a filter holds: texts meet their own repeated edges in a shuffled join instead
+        held = edges.join(twice, "edge").groupBy("text").agg(F.collect_list("edge").alias("edges"))
+        named = known.mapInArrow(_named(salt), f"_id {kind}, words string, text long")
+        suspected = named.join(scratch.write(held, "held"), "text").select("_id", "words", "edges")
+
     def suspects(told=None) -> DataFrame:
-        found = known.mapInArrow(_suspects(window, edge, salt, mask, repeated, told), f"_id {kind}, text long, at int, window {'long' if told is None else 'binary'}")
+        found = suspected.mapInArrow(_suspects(window, edge, salt, mask, repeated, told), f"_id {kind}, text long, at int, window {'long' if told is None else 'binary'}")
         return scratch.write(found.join(copies.withColumnRenamed("text", "t"), F.col("text") == F.col("t"), "left").where("first IS NULL OR _id = first").drop("t", "first"), "windows")
 
     paths = _paths(suspects(), scratch)

@@ -38,9 +38,11 @@ def test_odd_and_real_rows(odd_docs, real_docs, no_docs):
     assert remove(no_docs).collect() == []
 
 
-@pytest.mark.parametrize("bits, asks", [(64, 1000), (8, 1000), (3, 2)])
-def test_tangled_repeats(spark, bits, asks, monkeypatch):
+@pytest.mark.parametrize("bits, asks, filtered", [(64, 1000, True), (8, 1000, True), (3, 2, False), (64, 1000, False)])
+def test_tangled_repeats(spark, bits, asks, filtered, monkeypatch):
     """With few bits most windows meet others' hashes: only the words at the sources' coordinates tell."""
+    if not filtered:
+        monkeypatch.setattr(repeats, "FILTER_EDGES", 0)
     monkeypatch.setattr(repeats, "HASH_BITS", bits)
     monkeypatch.setattr(repeats, "ASKS", asks)
     rng = random.Random(3)
