@@ -35,8 +35,8 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-#: Rows of an Arrow batch at most: whole texts make batches large.
-ARROW_ROWS = 2000
+#: Rows and bytes of an Arrow batch at most: whole texts make batches large.
+ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
@@ -54,12 +54,14 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
 class Scratch:
     """Intermediate tables in the shared folder. A written table cuts the lineage and outlives executors.
 
-    Starting one also keeps the session's Arrow batches to ARROW_ROWS rows.
+    Starting one also keeps the session's Arrow batches to ARROW_ROWS rows and (where Spark has that bound) ARROW_BYTES.
     """
 
     def __init__(self, spark: SparkSession):
         if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
         self.spark, self.top, self.paths = spark, shared_dir(spark).rstrip("/"), {}
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
