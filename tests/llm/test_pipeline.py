@@ -124,3 +124,16 @@ def test_mix_takes_what_it_says(spark, docs, odd_docs, no_docs):
 def test_run(spark):
     out = p.run(spark, "/root/testdata/sf0.001")
     assert out.columns[:7] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 50
+
+
+def test_arrow_batches_are_bounded_in_bytes(spark):
+    import pyarrow as pa
+
+    from lodestone.functions.tables import ARROW_BYTES, Scratch
+
+    session = spark.newSession()
+    Scratch(session)
+    assert session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{ARROW_BYTES}b"
+    long = session.range(60).selectExpr("repeat('x', 1000000) AS t").coalesce(1)
+    sizes = long.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    assert max(r.n for r in sizes.collect()) <= 10
